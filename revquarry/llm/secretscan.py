@@ -84,6 +84,8 @@ def either(queries: Iterable):
     parts = tuple(dict.fromkeys(queries))
     if any(x == All() for x in parts):
         return All()
+    asks = [set(x.parts) if isinstance(x, All) else {x} for x in parts]
+    parts = tuple(x for x, a in zip(parts, asks, strict=True) if not any(b < a for b in asks))  # a narrower alternative adds nothing
     return parts[0] if len(parts) == 1 else Any(parts)
 
 
