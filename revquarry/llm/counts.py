@@ -29,6 +29,21 @@ BLOCK_DDL = "block long, doc_id long, n_bytes long, special long, places binary,
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("special", pa.int64()), ("places", pa.binary()), ("times", pa.binary()), ("first", pa.int64()), ("words", pa.list_(pa.string()))])
 
 
+def packed(numbers: np.ndarray, kind) -> bytes:
+    """Non-negative numbers in the small unsigned ``kind``; its greatest value stands for a number kept in 8 bytes behind them."""
+    most = np.iinfo(kind).max
+    large = numbers >= most
+    return len(numbers).to_bytes(4, "little") + np.where(large, most, numbers).astype(kind).tobytes() + numbers[large].astype("<u8").tobytes()
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, dtype=kind, count=n, offset=4).astype(np.int64)
+    large = out == np.iinfo(kind).max
+    out[large] = np.frombuffer(raw, dtype="<u8", offset=4 + n * np.dtype(kind).itemsize).astype(np.int64)
+    return out
+
+
 def _frequencies(docs: DataFrame, path: str, block_chars: int) -> DataFrame:
     def run(batches):
         pieces = word_pieces(path)
@@ -55,11 +70,10 @@ def _frequencies(docs: DataFrame, path: str, block_chars: int) -> DataFrame:
                 for w in seen:
                     if w not in place:
                         place[w] = len(place)
-                places = np.fromiter(map(place.__getitem__, seen), dtype=np.uint32, count=len(seen))
-                times = np.fromiter(seen.values(), dtype=np.uint32, count=len(seen))
-                if not len(times) or times.max() < 256:
-                    times = times.astype(np.uint8)
-                rows.append((block, doc_id, len(text.encode()), special, places.tobytes(), times.tobytes(), None, None))
+                places = np.fromiter(map(place.__getitem__, seen), dtype=np.int64, count=len(seen))
+                times = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
+                order = np.argsort(places)
+                rows.append((block, doc_id, len(text.encode()), special, packed(np.diff(places[order], prepend=0), np.uint16), packed(times[order], np.uint8), None, None))
                 chars += len(text)
                 if chars >= block_chars:
                     yield from flush()
@@ -82,13 +96,20 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
     in_blocks = blocks.filter(F.col("words").isNotNull()).select("block", "first", F.posexplode("words").alias("pos", "word")).select("block", (F.col("first") + F.col("pos")).cast("int").alias("place"), "word")
 
     def pieces_of(batches):
+        # Equal words follow each other: each is counted where it first comes.
         pieces = word_pieces(path)
+        last, n_last = None, 0
         for batch in batches:
-            n = [len(x) for x in pieces.ids(batch["word"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(n, pa.int32())], names=["word", "n"])
-
-    counted = in_blocks.select("word").distinct().mapInArrow(pieces_of, "word string, n int")
-    known = in_blocks.join(counted, "word").select(F.col("block").alias("of_block"), "place", "n")
+            words = batch["word"].to_pylist()
+            new = [w for w in dict.fromkeys(words) if w != last]
+            n = dict(zip(new, map(len, pieces.ids(new)), strict=True))
+            if words[0] == last:
+                n[last] = n_last
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["place"], pa.array(map(n.__getitem__, words), pa.int32())], names=["of_block", "place", "n"])
+            last, n_last = words[-1], n[words[-1]]
+
+    # One shuffle brings a pre-token's blocks together: it is counted once, and the count goes back to each of them.
+    known = in_blocks.repartition(common.default_parallelism(spark), "word").sortWithinPartitions("word").mapInArrow(pieces_of, "of_block long, place int, n int")
     frequencies = blocks.filter(F.col("places").isNotNull()).select("block", "doc_id", "n_bytes", "special", "places", "times")
 
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -96,9 +117,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
         n[right["place"].to_numpy()] = right["n"].to_numpy()
         sums = []
         for places, times, special in zip(left["places"], left["times"], left["special"], strict=True):
-            at = np.frombuffer(places, dtype=np.uint32)
-            of = np.frombuffer(times, dtype=np.uint8 if len(times) == len(at) else np.uint32)
-            sums.append(int(n[at] @ of.astype(np.int64)) + int(special))
+            sums.append(int(n[np.cumsum(unpacked(places, np.uint16))] @ unpacked(times, np.uint8)) + int(special))
         return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_bytes": left["n_bytes"].astype("int64"), "n_tokens": np.array(sums, dtype=np.int64)})
 
     summed = frequencies.groupBy("block").cogroup(known.groupBy("of_block")).applyInPandas(total, "doc_id long, n_bytes long, n_tokens long")

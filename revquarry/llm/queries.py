@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,55 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_token_counts": op5_token_counts, "op6_id_files": op6_id_files, "op7_secret_scan": op7_secret_scan}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
 
-ORACLE_SQL: dict[str, str] = {}
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op4_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import maxscore
+
+    vectors = maxscore.quantise(_table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shuffle
+
+    dealt = shuffle.shuffle(_table(spark, sf_dir, "documents"), shards=24)
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_max_score": op4_max_score,
+    "op5_token_counts": op5_token_counts,
+    "op6_id_files": op6_id_files,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_pack": op9_pack,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_max_score": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
