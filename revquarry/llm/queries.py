@@ -73,8 +73,21 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op2_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngramjoin
+
+    return ngramjoin.join_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_vector_near_duplicates": op2_vector_near_duplicates,
     "op3_toxicity": op3_toxicity,
     "op4_max_score": op4_max_score,
     "op5_token_counts": op5_token_counts,
@@ -82,6 +95,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_pack": op9_pack,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +107,25 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op2_vector_near_duplicates": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM v),
+        links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+        reach(id, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.node),
+        least AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT l.id AS vec_id, coalesce(c.n, 0) AS n_links, l.component_id, l.id = l.component_id AS kept FROM least l LEFT JOIN counts c ON c.a = l.id
+    """,
+    "op10_ngram_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        sizes AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+        one AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+        reach(id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.node)
+        SELECT id AS doc_id, n AS n_shingles, min(node) AS component_id FROM reach JOIN sizes ON doc_id = id GROUP BY id, n
+    """,
 }
