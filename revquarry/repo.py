@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +101,6 @@ class Repo:
         ship_package(self.spark)
         schema = "array<struct<ordinal:int,mode:string,kind:string,name:string,oid:string>>"
 
-        import pandas as pd
-
         @F.pandas_udf(schema)
         def entries(data: pd.Series) -> pd.Series:
             return data.map(lambda x: formats.tree(bytes(x)))
