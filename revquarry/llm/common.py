@@ -1,59 +1,35 @@
-"""What the operators share: the shared folder, written tables, and reading Arrow batches."""
+"""What the operators share: the shared folder and written tables of the session module, and reading Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import uuid
+import ctypes
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
-#: Used only by a local master that names no checkpoint folder (tests).
-LOCAL_WORKSPACE = "file:///tmp/checkpoints"
+from ..session import discard, new_folder, ship_package, workspace, written
 
+__all__ = ["default_parallelism", "discard", "new_folder", "ship_package", "slices", "workspace", "written"]
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may leave it unset; then it is :data:`LOCAL_WORKSPACE`.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = LOCAL_WORKSPACE
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and lost executors cost no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`written` wrote, once nothing reads it any more."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: Rows that become Python objects at once.
+SLICE_ROWS = 512
 
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started (a cluster installs it)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones: a batch may hold tens of megabytes of text, which as Python strings take more again.
+
+    Workers live on after a task; what it has freed goes back to the system when its input ends.
+    """
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass

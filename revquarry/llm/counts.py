@@ -63,7 +63,7 @@ def _frequencies(docs: DataFrame, path: str, block_chars: int) -> DataFrame:
             block, chars = block + 1, 0
             return out.to_batches(max_chunksize=2048)
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words, special = pieces.words(text)
                 seen = Counter(words)
@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
         for batch in batches:
             words = batch["word"].to_pylist()
             new = [w for w in dict.fromkeys(words) if w != last]
-            n = dict(zip(new, map(len, pieces.ids(new)), strict=True))
+            n = dict(zip(new, pieces.counts(new), strict=True))
             if words[0] == last:
                 n[last] = n_last
             yield pa.RecordBatch.from_arrays([batch["block"], batch["place"], pa.array(map(n.__getitem__, words), pa.int32())], names=["of_block", "place", "n"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 import base64
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -80,30 +80,76 @@ def byte_level_encoder(path: str):
     return encode
 
 
+#: Ends a word in the rank form of a word-end vocabulary; no word of SAFE characters holds it.
+END = "\0"
+
+
 class WordPieces:
-    """A lower-casing word-end BPE vocabulary (.json), word by word.
+    """A lower-casing word-end BPE vocabulary (.json).
+
+    ``words(text)`` gives the text's pre-tokens and its number of special tokens, ``counts(words)`` the number of ids of
+    each, ``encode(text)`` all ids of a text as little-endian unsigned 32-bit bytes.
 
-    ``words(text)`` gives the text's pre-tokens and its number of special tokens; ``ids(words)`` what the model makes
-    of distinct pre-tokens; ``encode(text)`` all ids of a text as little-endian unsigned 32-bit bytes.
+    Words of SAFE characters are encoded through ranks: a word is written with an end mark, a token that ends a word
+    too, the marked single bytes come first among the merges and the others follow in the vocabulary's order. Whether
+    that gives the library's ids is checked on a spread of the vocabulary's own words when it is loaded; if not, all
+    goes through the library.
     """
 
-    #: Words that the cache of encode() holds at most; it starts again when full.
-    CACHE_WORDS = 300_000
+    CHECKED_WORDS = 2000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = library_tokenizer(path)
-        self.special = re.compile("|".join(map(re.escape, sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True))))
-        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        bare = spec | {"added_tokens": [], "normalizer": None, "post_processor": None, "truncation": None, "padding": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.path = path
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)))
         self.letter = {c: b for b, c in byte_letters().items()}
-        # The vocabulary's own split pattern, for characters in SAFE.
-        self.safe_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-        self.cache: dict[str, bytes] = {}
+        # The vocabulary's own split pattern for lowered characters of SAFE, with their letters listed.
+        self.safe_words = re.compile(r"[a-zªµºß-öø-ɏ]+|'(?:[stmd]|re|ve|ll)|[0-9]|(?:[^\s\w]|_)+").findall
+        self.ranks, self.to_id, self.ends = self._rank_form({k: v for k, v in spec["model"]["vocab"].items() if k not in special}, spec["model"]["end_of_word_suffix"])
+        known = [k.removesuffix(spec["model"]["end_of_word_suffix"]) for k in list(spec["model"]["vocab"])[:: max(1, len(spec["model"]["vocab"]) // self.CHECKED_WORDS)]]
+        known = [k for k in known if k.isascii() and k not in special]
+        if [x for ids in self._library_ids(known) for x in ids] != self._rank_ids(known).tolist():
+            self.ranks = None
+        del self.model  # large, and wanted again only for words outside SAFE
+
+    @cached_property
+    def model(self):
+        """The vocabulary's model alone, for single words."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bare = {"added_tokens": [], "normalizer": None, "post_processor": None, "truncation": None, "padding": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        return Tokenizer.from_str(json.dumps(spec | bare))
+
+    @property
+    def library(self):
+        return library_tokenizer(self.path)
+
+    def _rank_form(self, vocab: dict[str, int], suffix: str):
+        import tiktoken
+
+        mark = END.encode()
+        tokens = sorted((v, bytes(self.letter[c] for c in k.removesuffix(suffix)) + mark * k.endswith(suffix)) for k, v in vocab.items())
+        of_byte = {t[0]: v for v, t in tokens if len(t) == 1}
+        marked = [(v, t) for v, t in tokens if len(t) == 2 and t.endswith(mark)]
+        longer = [(v, t) for v, t in tokens if len(t) > 1 and not (len(t) == 2 and t.endswith(mark))]
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, (_, t) in enumerate([*marked, *longer])}
+        to_id = np.array([of_byte.get(b, 0) for b in range(256)] + [v for v, _ in [*marked, *longer]], dtype="<u4")
+        ends = np.zeros(len(to_id), dtype=bool)
+        ends[[r for t, r in ranks.items() if t.endswith(mark)]] = True
+        return tiktoken.Encoding("word ends", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={}), to_id, ends
+
+    def _rank_numbers(self, words: list[str]) -> np.ndarray:
+        return self.ranks.encode_to_numpy(END.join(words) + END, disallowed_special=()) if words else np.empty(0, dtype=np.uint32)
+
+    def _rank_ids(self, words: list[str]) -> np.ndarray:
+        return self.to_id[self._rank_numbers(words)]
+
+    def _library_ids(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
     def is_fast(self, text: str) -> bool:
         return SAFE.fullmatch(text) is not None and not self.special.search(text)
@@ -120,21 +166,17 @@ class WordPieces:
                     found.append(bytes(self.letter[c] for c in piece).decode())
         return found, len(parts) - 1
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def counts(self, words: list[str]) -> list[int]:
+        plain = [w for w in words if SAFE.fullmatch(w)] if self.ranks else []
+        n = dict(zip(plain, np.diff(np.flatnonzero(self.ends[self._rank_numbers(plain)]), prepend=-1).tolist(), strict=True))
+        others = [w for w in words if w not in n]
+        n |= dict(zip(others, map(len, self._library_ids(others)), strict=True))
+        return [n[w] for w in words]
 
     def encode(self, text: str) -> bytes:
-        if not self.is_fast(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self.safe_words(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > self.CACHE_WORDS:
-                self.cache.clear()
-            new = list({w for w in words if w not in self.cache})
-            self.cache.update(zip(new, (np.array(x, dtype="<u4").tobytes() for x in self.ids(new)), strict=True))
-            return b"".join(map(self.cache.__getitem__, words))
+        if self.ranks and self.is_fast(text):
+            return self._rank_ids(self.safe_words(text.lower())).tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
