@@ -88,7 +88,7 @@ def _encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int, overlap:
 
     def short(batches):
         encoding, table = rank_encoder(path, pattern)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 out = sink(encoding, table)
@@ -100,7 +100,7 @@ def _encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int, overlap:
 
     def cut(batches):
         uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in common.slices(batches, 16):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 n = -(-len(text) // chunk_chars)
                 for first in range(0, n, 256):  # a very long text leaves in several batches
@@ -110,7 +110,7 @@ def _encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int, overlap:
     mark_schema = cut_schema.append(pa.field("head", pa.list_(pa.int32()))).append(pa.field("tail", pa.list_(pa.int32())))
 
     def pretokenise(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             heads, tails = [], []
             for text in batch["text"].to_pylist():
                 found = boundaries(text, pattern, 1, len(text) - MARGIN)
@@ -122,7 +122,7 @@ def _encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int, overlap:
         encoding, table = rank_encoder(path, pattern)
         out, pending, base, tail, tried = None, [], 0, None, 0  # base: where the pending text begins, before the current chunk's start
         held: tuple | None = None  # the chunk whose successor is awaited
-        for batch in batches:
+        for batch in common.slices(batches):
             done = []
             for row in batch.to_pylist():
                 if row["chunk_no"] == 0:

@@ -28,12 +28,12 @@ from .components import components
 
 #: Words in a shingle; the threshold as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
-#: Bytes of text in a block, and for each fragment: they bound a task's memory.
-BLOCK_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 24_000_000, 16_000_000, 32
+#: Bytes of hashes in a block, and of text for each fragment: they bound a task's memory.
+BLOCK_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 16_000_000, 16_000_000, 32
 #: Groups of fragments that overlaps are counted in, and bytes of pairs up to which they are broadcast.
 COUNTED_IN, PAIRS_BROADCAST = 8, 8_000_000
 #: Words that a worker remembers the hash of at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -107,7 +107,9 @@ def _dealt(docs: DataFrame, fragments: int, words: int, block_bytes: int) -> Dat
                 h = np.concatenate([s for _, s in sets])
                 place = np.repeat(np.array([p for p, _ in sets], dtype=np.uint32), [len(s) for _, s in sets])
                 order = np.argsort(h, kind="stable")
+                sets = []
                 h, place = h[order], place[order]
+                del order
                 # A fragment is a range of hashes.
                 edges = np.searchsorted(h, np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64))
                 for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)], strict=True)):
@@ -117,7 +119,7 @@ def _dealt(docs: DataFrame, fragments: int, words: int, block_bytes: int) -> Dat
             base, sets, size, seen, rows = uid, [], 0, set(), []
             return out.to_batches(max_chunksize=1024)
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s = shingle_set(text, hashes, words)
                 same = xxhash.xxh3_128_digest(s.tobytes())
@@ -151,11 +153,13 @@ def _fragments(dealt: DataFrame, fragments: int) -> DataFrame:
         blobs.clear()
         order = np.argsort(h)
         h, uid = h[order], uid[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        of = np.cumsum(new) - 1
-        count = np.bincount(of)[of]
-        keep = count > 1
-        h, uid, count = h[keep], uid[keep], count[keep]
+        del order
+        # Only runs of equal hashes go on.
+        same = h[1:] == h[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        h, uid = h[keep], uid[keep]
+        of = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]) - 1
+        count = np.bincount(of)[of] if len(h) else of
         order = np.lexsort((h, uid))
         h, uid, count = h[order].view(np.int64), uid[order], count[order].astype(np.int32)
         starts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else np.empty(0, dtype=np.int64)

@@ -93,7 +93,7 @@ def remainder(doc_id: str = "doc_id"):
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, 4096):
         seen = set()
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             words = WORD.findall((text or "").lower())
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in common.slices(batches):
             scores, passages = [], []
             for text in batch["text"].to_pylist():
                 text = text or ""
@@ -229,7 +229,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in common.slices(batches):
             keep = [model.probability(model.evidence(*model.segments(t or ""))) < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
