@@ -7,7 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from ..operators.delta import apply_delta, read_offset
+from ..operators.delta import apply_delta, make_delta, offset_number, read_offset
 
 # Fixed values of the formats.
 PACK_TYPES = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
@@ -203,21 +203,55 @@ def write_loose(kind: str, data: bytes) -> bytes:
     return zlib.compress(f"{kind} {len(data)}\0".encode() + data)
 
 
-def write_pack(objects: list[tuple[str, bytes]]) -> tuple[bytes, bytes]:
-    """A pack (version 2) of whole objects and its index (version 2)."""
+#: How packs are made: bases tried for an object, longest chain, bytes that a delta must save.
+PACK_WINDOW, PACK_DEPTH, PACK_SAVES = 10, 10, 50
+
+
+def chain_depth(wanted: int) -> int:
+    """The longest chain of deltas that is allowed, between 1 and 50."""
+    return min(50, max(1, wanted))
+
+
+def _plan(objects: list[tuple[str, bytes]], depth: int) -> list[tuple[int, int | None, bytes]]:
+    """(object, base's place in this list or None, bytes to store): by kind and falling size, deltas against those just before."""
+    order = sorted(range(len(objects)), key=lambda i: (objects[i][0], -len(objects[i][1])))
+    plan: list[tuple[int, int | None, bytes]] = []
+    depths: list[int] = []
+    for i in order:
+        kind, data = objects[i]
+        best: tuple[int | None, bytes] = (None, data)
+        for k in range(len(plan) - 1, max(-1, len(plan) - 1 - PACK_WINDOW), -1):
+            other, base = objects[plan[k][0]]
+            if other != kind or depths[k] >= depth or not data or 2 * len(data) < len(base):
+                continue
+            made = make_delta(base, data)
+            if len(made) + PACK_SAVES <= len(best[1]):
+                best = (k, made)
+        depths.append(0 if best[0] is None else depths[best[0]] + 1)
+        plan.append((i, *best))
+    return plan
+
+
+def write_pack(objects: list[tuple[str, bytes]], deltas: bool = False, depth: int = PACK_DEPTH) -> tuple[bytes, bytes]:
+    """A pack (version 2) and its index (version 2). With ``deltas`` objects may refer to bases in the same pack."""
     codes = {v: k for k, v in PACK_TYPES.items()}
     body = bytearray(struct.pack(">4sII", b"PACK", 2, len(objects)))
-    listed = []
-    for kind, data in objects:
-        start, n = len(body), len(data)
-        head = bytearray([codes[kind] << 4 | n & 15])
+    plan = _plan(objects, chain_depth(depth)) if deltas else [(i, None, data) for i, (_, data) in enumerate(objects)]
+    listed, starts = [], []
+    for i, base, stored in plan:
+        kind, data = objects[i]
+        start, n = len(body), len(stored)
+        head = bytearray([(codes[kind] if base is None else OFS_DELTA) << 4 | n & 15])
         n >>= 4
         while n:
             head[-1] |= 128
             head.append(n & 127)
             n >>= 7
-        entry = bytes(head) + zlib.compress(data)
+        if base is not None:
+            head += offset_number(start - starts[base])
+        entry = bytes(head) + zlib.compress(stored)
         listed.append((bytes.fromhex(oid_of(kind, data)), zlib.crc32(entry), start))
+        starts.append(start)
         body += entry
     trailer = hashlib.sha1(body).digest()
     listed.sort()

@@ -261,9 +261,9 @@ def test_commit_gives_the_ids_that_git_gives(spark, repo, merged, tmp_path):
 
 def test_index_and_search(spark, tmp_path):
     git(tmp_path, "init", "-q")
-    commit(tmp_path, "one", **{"A__Pages__x__t_json": '{"$type": "Models.Software.Table", "name": "orders"}', "A__Pages__x__u_json": '{"$type": "Other", "name": "orders"}', "m_vb": "' x\noption strict OFF\n"})
+    commit(tmp_path, "one", **{"A__Pages__x__t_json": '{"$type": "Models.Table", "name": "orders"}', "A__Pages__x__u_json": '{"$type": "Other", "name": "orders"}', "m_vb": "' x\noption strict OFF\n"})
     repo = Repo.open(spark, str(tmp_path))
-    provider = search.json_provider(r"/Pages/[^/]+/[^/]+\.json$", {"$['$type']": "Models.Software.Table"}, name="$.name")
+    provider = search.json_provider(r"/Pages/[^/]+/[^/]+\.json$", {"$['$type']": "Models.Table"}, name="$.name")
     index, seen = repo.indexed(provider)
     assert [r.path for r in repo.search(index, F.col("name") == "orders").collect()] == ["A/Pages/x/t.json"]
     flags, _ = repo.indexed(search.text_provider(r"\.vb$", "Option Strict Off"))
@@ -355,3 +355,50 @@ def test_change_sets_and_benchmark_files(spark):
     assert write.EMPTY_TREE == formats.oid_of("tree", b"")
     rows = write.benchmark_files(spark, 3, 100).collect()
     assert [len(r.text) for r in rows] == [100] * 3 and len({r.text for r in rows}) == 3
+
+
+def test_packs_with_deltas(tmp_path):
+    text = b"".join(b"line %d of some text\n" % i for i in range(300))
+    objects = [("blob", text + b"end %d\n" % k) for k in range(30)] + [("blob", b""), ("tree", b"")]
+    raw, index = formats.write_pack(objects, deltas=True)
+    assert {(x["kind"], x["data"]) for x in formats.pack(raw)} == set(objects)
+    assert len(raw) < len(formats.write_pack(objects)[0]) / 4
+    assert [formats.chain_depth(n) for n in (0, 1, 10, 100)] == [1, 1, 10, 50]
+    git(tmp_path, "init", "-q")
+    (tmp_path / ".git/objects/pack/pack-x.pack").write_bytes(raw)
+    (tmp_path / ".git/objects/pack/pack-x.idx").write_bytes(index)
+    git(tmp_path, "verify-pack", str(tmp_path / ".git/objects/pack/pack-x.idx"))
+
+
+def test_exports(spark, repo, tmp_path):
+    import zipfile
+
+    from revquarry.plans import apps
+    from revquarry.sources import export
+
+    for way in ("loose", "packs"):
+        git(tmp_path, "init", "-q", "--bare", way)
+        getattr(export, way)(repo.objects, f"file://{tmp_path}/{way}")
+        git(tmp_path / way, "fsck", "--strict", "--no-dangling")
+        assert len(git(tmp_path / way, "cat-file", "--batch-all-objects", "--batch-check").splitlines()) == repo.objects.count()
+    assert export.loose(repo.objects, f"file://{tmp_path}/loose") == 0
+    assert export.zips(apps.archive(repo), f"file://{tmp_path}/zips") == 1
+    (made,) = (tmp_path / "zips").glob("*.zip")
+    with zipfile.ZipFile(made) as z:
+        assert sorted(z.namelist()) == sorted(r.path for r in repo.files().collect()) and z.read("dir/b.txt") == b"changed\n"
+
+
+def test_applications(repo):
+    import json
+
+    from revquarry.plans import apps
+
+    assert [r.preview for r in apps.log_history(repo).collect()][:2] == ["last", "rename"]
+    assert apps.path_history(repo, "dir/b.txt").count() == 2
+    assert [r.text for r in apps.last_changes(repo).collect()] == ["Modified: dir/b.txt -> dir/b.txt"]
+    assert {r.path: r.size for r in apps.content_sizes(repo).collect()}["dir/b.txt"] == 8
+    assert apps.staged(repo).count() > 0
+    lines, counts = apps.training_data(repo, system="Say why.")
+    got = [json.loads(r.line)["messages"] for r in lines.collect()]
+    assert {m[2]["content"]: m[1]["content"] for m in got}["last"].endswith("-b\n+changed\n")
+    assert {r.outcome: r.n for r in counts.collect()}.get("excluded") == 1
