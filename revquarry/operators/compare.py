@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import objects as O
-from ..session import discard, written
+from ..session import discard, rows_in, written
 
 CHANGE = ["type", "old_path", "new_path", "old_oid", "new_oid", "old_mode", "new_mode"]
 
@@ -97,7 +97,7 @@ def first_match(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     left = written(candidates.select(*by, "old_path", "new_path"), "candidates")
     taken: DataFrame | None = None
-    while left.limit(1).count():
+    while rows_in(left):
         first = lambda mine, other: F.row_number().over(Window.partitionBy(*by, mine).orderBy(O.chunks(other)))
         now = written(left.withColumn("x", first("old_path", "new_path")).withColumn("y", first("new_path", "old_path")).filter("x = 1 and y = 1").select(*by, "old_path", "new_path"), "taken")
         taken = now if taken is None else taken.unionByName(now)

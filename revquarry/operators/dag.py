@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, written
+from ..session import discard, rows_in, written
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def log(edges: DataFrame, starts: DataFrame, first_parent: bool = False, times:
     frontier = written(cut(first), "frontier")
     visited, level = frontier, 0
     order = Window.partitionBy("start").orderBy("from_seq", "parent_no")
-    while frontier.limit(1).count():
+    while rows_in(frontier):
         level += 1
         found = frontier.select("start", F.col("oid").alias("child"), F.col("seq").alias("from_seq")).join(edges, "child")
         found = found.groupBy("start", F.col("parent").alias("oid")).agg(F.min(F.struct("from_seq", "parent_no")).alias("by"))
@@ -66,8 +66,14 @@ def log(edges: DataFrame, starts: DataFrame, first_parent: bool = False, times:
         visited = visited.unionByName(frontier)
     if outside is not None and not prune:
         visited = visited.join(outside, "oid", "left_anti")
-    whole = Window.partitionBy("start").orderBy(*([F.desc("level"), F.desc("seq")] if topological else ["level", "seq"]))
-    return visited.select("start", "oid", "level", F.row_number().over(whole).cast("long").alias("seq"))
+        whole = Window.partitionBy("start").orderBy(*([F.desc("level"), F.desc("seq")] if topological else ["level", "seq"]))
+        return visited.select("start", "oid", "level", F.row_number().over(whole).cast("long").alias("seq"))
+    # A commit's place is its place on its level after all of the levels before (or, reversed, from the end): a row a level tells.
+    sizes = visited.groupBy("start", "level").agg(F.count(F.lit(1)).alias("n"))
+    through = F.sum("n").over(Window.partitionBy("start").orderBy("level"))
+    places = sizes.select("start", "level", (through - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("start")).alias("total"))
+    seq = F.col("before") + F.col("seq")
+    return visited.join(places, ["start", "level"]).select("start", "oid", "level", (F.col("total") + 1 - seq if topological else seq).alias("seq"))
 
 
 def first_parent_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def first_parent_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
     while True:
         further = reached.join(hop.withColumnRenamed("child", "oid"), "oid").select("start", F.col("parent").alias("oid"), (F.col("depth") + step).alias("depth"))
         more = written(further, "chain")
-        if not more.limit(1).count():
+        if not rows_in(more):
             return reached
         reached = reached.unionByName(more)
         # All chains of up to 2 * step - 1 hops are there; now hops of twice the length.

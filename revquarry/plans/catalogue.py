@@ -228,10 +228,10 @@ def path_containment(spark, d):
     return docs.select("doc_id", "path", O.contains_path(F.lit("en"), "path").alias("in_en"), O.contains_path(F.lit("en/src1"), "path").alias("in_en_src1"), O.parent_path("path").alias("parent"), O.base_name("path").alias("name"))
 
 
-@query("SELECT lang, source, rank() OVER (ORDER BY lang, source) AS place FROM (SELECT DISTINCT lang, source FROM documents)")
+@query("SELECT lang, source, rank() OVER (PARTITION BY lang ORDER BY lang, source) AS place FROM (SELECT DISTINCT lang, source FROM documents)")
 def path_order(spark, d):
     dirs = T.table(spark, d, "documents").select("lang", "source").distinct()
-    return dirs.withColumn("place", F.rank().over(Window.orderBy(O.chunks(F.concat_ws("/", "lang", "source")))).cast("long"))  # one row a directory
+    return dirs.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(O.chunks(F.concat_ws("/", "lang", "source")))).cast("long"))
 
 
 @query(f"SELECT {PATH} AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only by a local master that names no checkpoint folder (tests).
 LOCAL_WORKSPACE = "file:///tmp/checkpoints"
@@ -41,13 +42,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and lost executors cost no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, seen = new_folder(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
+    out._written_to, out._rows = path, seen.get.get("rows")
     return out
 
 
+def rows_in(df: DataFrame) -> int:
+    """How many rows; for what :func:`written` gave without counting again."""
+    known = getattr(df, "_rows", None)
+    return df.count() if known is None else known
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`written` wrote, once nothing reads it any more."""
     path = getattr(df, "_written_to", None)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import objects as O
 from ..operators import delta, refs
-from ..session import ship_package, written
+from ..session import rows_in, ship_package, written
 from . import formats
 
 OBJECTS = "oid string, kind string, size long, data binary, storage string, pack string, offset long"
@@ -68,13 +68,13 @@ def packed_objects(spark: SparkSession, git_dir: str) -> DataFrame:
 
     found = written(decoded(files(spark, f"{git_dir}/objects/pack", r"\.pack$", "*.pack"), decode, raw_schema), "packs")
     plain = found.filter("oid is not null").drop("base_oid", "delta")
-    left = found.filter("oid is null")
+    left = written(found.filter("oid is null"), "left")
     known = plain.unionByName(loose_objects(spark, git_dir)).select(F.col("oid").alias("base_oid"), F.col("kind").alias("base_kind"), F.col("data").alias("base"))
-    while left.limit(1).count():
+    while rows_in(left):
         made = delta.with_targets(left.join(known.dropDuplicates(["base_oid"]), "base_oid")).withColumn("kind", F.col("base_kind"))
         oid = F.sha1(F.concat(F.concat(F.col("kind"), F.lit(" "), F.octet_length("made").cast("string")).cast("binary"), F.unhex(F.lit("00")), F.col("made")))
         made = written(made.select(oid.alias("oid"), "kind", F.octet_length("made").cast("long").alias("size"), F.col("made").alias("data"), "storage", "pack", "offset"), "thin")
-        if not made.limit(1).count():
+        if not rows_in(made):
             raise ValueError("a delta's base is missing")
         plain = plain.unionByName(made)
         left = written(left.join(made.select("pack", "offset"), ["pack", "offset"], "left_anti"), "left")
