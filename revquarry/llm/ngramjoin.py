@@ -10,7 +10,7 @@ The rest are joined. Documents that can link have a shingle in common among the
 first; the prefix). Pairs found so are verified fragment by fragment: each counts the overlap of the two segments, and
 the counts are summed per pair. Documents with equal sets are one. Where many documents share a prefix shingle, each
 is first paired with one leader only; what that joins needs no further pair to be told connected, and only pairs that
-are still apart are then tried, all of them. So no link that joins two groups is lost, and a group of copies is never
+are still apart are then tried, all of them that sizes, positions and bitmaps of the sets don't rule out. So no link that joins two groups is lost, and a group of copies is never
 expanded into all its pairs.
 """
 
@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import rows_in
 from . import common
 from .components import components
 
@@ -32,8 +33,12 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 BLOCK_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 16_000_000, 16_000_000, 32
 #: Groups of fragments that overlaps are counted in, and bytes of pairs up to which they are broadcast.
 COUNTED_IN, PAIRS_BROADCAST = 8, 8_000_000
+#: Turns with leaders at most, and the part of pairs that must fit for another (one in so many).
+LEADER_TURNS, FAIR_PART = 6, 4
 #: Words that a worker remembers the hash of at most.
 CACHE_WORDS = 200_000
+#: 64-bit words of a document's bitmap.
+BITMAP_WORDS = 8
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -87,10 +92,16 @@ def unpack_hashes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
 
 
-DEALT = pa.schema([("fragment", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
-DEALT_DDL = "fragment int, uid long, doc_id long, n long, same binary, hashes binary, places binary"
-FOUND = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("fragment", pa.int32()), ("hashes", pa.list_(pa.int64())), ("shared_by", pa.list_(pa.int32()))])
-FOUND_DDL = "uid long, doc_id long, n long, same binary, fragment int, hashes array<long>, shared_by array<int>"
+def bitmap(h: np.ndarray) -> list[int]:
+    """BITMAP_WORDS 64-bit words of the set's parities by hash: two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.bincount((h % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+
+
+DEALT = pa.schema([("fragment", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("bits", pa.list_(pa.int64())), ("hashes", pa.binary()), ("places", pa.binary())])
+DEALT_DDL = "fragment int, uid long, doc_id long, n long, same binary, bits array<long>, hashes binary, places binary"
+FOUND = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("bits", pa.list_(pa.int64())), ("fragment", pa.int32()), ("hashes", pa.list_(pa.int64())), ("shared_by", pa.list_(pa.int32()))])
+FOUND_DDL = "uid long, doc_id long, n long, same binary, bits array<long>, fragment int, hashes array<long>, shared_by array<int>"
 
 
 def _dealt(docs: DataFrame, fragments: int, words: int, block_bytes: int) -> DataFrame:
@@ -114,7 +125,7 @@ def _dealt(docs: DataFrame, fragments: int, words: int, block_bytes: int) -> Dat
                 edges = np.searchsorted(h, np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64))
                 for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)], strict=True)):
                     if b > a:
-                        rows.append((k, base, None, None, None, pack_hashes(h[a:b]), place[a:b].astype(np.uint16 if uid - base < 1 << 16 else np.uint32).tobytes()))
+                        rows.append((k, base, None, None, None, None, pack_hashes(h[a:b]), place[a:b].astype(np.uint16 if uid - base < 1 << 16 else np.uint32).tobytes()))
             out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)] if rows else [pa.array([], f.type) for f in DEALT], schema=DEALT)
             base, sets, size, seen, rows = uid, [], 0, set(), []
             return out.to_batches(max_chunksize=1024)
@@ -123,7 +134,7 @@ def _dealt(docs: DataFrame, fragments: int, words: int, block_bytes: int) -> Dat
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s = shingle_set(text, hashes, words)
                 same = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((uid % fragments, uid, doc_id, len(s), same, None, None))
+                rows.append((uid % fragments, uid, doc_id, len(s), same, bitmap(s), None, None))
                 if len(s) and same not in seen:  # equal sets of a block are one already
                     seen.add(same)
                     sets.append((uid - base, s))
@@ -165,7 +176,7 @@ def _fragments(dealt: DataFrame, fragments: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else np.empty(0, dtype=np.int64)
         offsets = pa.array(np.concatenate([starts, [len(uid)]]), pa.int32())
         m = len(starts)
-        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
         table = pa.Table.from_arrays([pa.array(uid[starts], pa.int64()), *none, pa.array(np.full(m, fragment), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(count))], schema=FOUND)
         return table.to_batches(max_chunksize=4096)
 
@@ -174,7 +185,7 @@ def _fragments(dealt: DataFrame, fragments: int) -> DataFrame:
         for batch in batches:
             docs = batch.filter(batch["n"].is_valid())
             if len(docs):
-                yield pa.RecordBatch.from_arrays([docs["uid"], docs["doc_id"], docs["n"], docs["same"], pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int32()))], schema=FOUND)
+                yield pa.RecordBatch.from_arrays([docs["uid"], docs["doc_id"], docs["n"], docs["same"], docs["bits"], pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int32()))], schema=FOUND)
             segments = batch.filter(batch["n"].is_null())
             for row in zip(*(segments[c].to_pylist() for c in ("fragment", "uid", "hashes", "places")), strict=True):
                 if blobs and blobs[0][0] != row[0]:
@@ -215,13 +226,13 @@ def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BY
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(least_fragments, -(-size // fragment_bytes))
     found = common.written(_fragments(_dealt(docs, fragments, words, block_bytes), fragments), "fragments")
-    rows = found.filter(F.col("n").isNotNull()).select("uid", "doc_id", "n", "same")
+    rows = found.filter(F.col("n").isNotNull()).select("uid", "doc_id", "n", "same", "bits")
     # Equal sets are one class; its least uid is the first of its block and so has the segments.
     classes = rows.filter("n > 0").groupBy("same", "n").agg(F.min("uid").alias("uid"))
     segments = found.filter(F.col("fragment").isNotNull()).select("uid", "fragment", "hashes", "shared_by")
     enough = segments.groupBy("uid").agg(F.sum(F.size("hashes")).alias("m")).join(classes.select("uid", "n"), "uid").filter(DENOMINATOR * F.col("m") >= NUMERATOR * F.col("n"))
-    alive = common.written(enough.select("uid", "n", "m"), "alive")
-    parts = segments.join(alive, "uid").withColumn("part", (F.col("fragment") * COUNTED_IN / F.lit(fragments)).cast("int"))
+    alive = common.written(enough.join(rows.select("uid", "bits"), "uid").select("uid", "n", "m", "bits"), "alive")
+    parts = segments.join(alive.drop("bits"), "uid").withColumn("part", (F.col("fragment") * COUNTED_IN / F.lit(fragments)).cast("int"))
     kept = common.written(parts.groupBy("uid", "n", "m", "part").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("shared_by")).alias("shared_by")), "segments")
     common_part = kept.select("uid", "part", "hashes")
     # The prefix: with a of n shingles at least to be shared, one of the first n - a + 1. Those of this document alone come first.
@@ -235,38 +246,50 @@ def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BY
 
     links: DataFrame | None = None
     groups: DataFrame | None = None
-    sizes = alive.select("uid", "n")
-    for turn in ("least", "other", "all"):
+    turn, tried, gained = 0, 1, 1
+    while True:
+        # Leaders are asked as long as a fair part of the pairs fits; what they leave apart is tried in full.
+        in_full = turn >= LEADER_TURNS or (turn > 1 and FAIR_PART * gained < tried)
         now = _labelled(prefixes_met, groups)
         mixed = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
         now = now.join(mixed, "h")
-        if turn == "all":
+        if in_full:
             # In each prefix shingle's list, those outside its most frequent group meet all others of another group.
+            now = now.join(alive.select("uid", "bits"), "uid")
             counts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
             most = counts.groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-            one = now.join(most, "h").filter("label <> main").select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"))
+            one = now.join(most, "h").filter("label <> main").select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"), F.col("bits").alias("ba"))
         else:
-            leader = F.struct((F.xxhash64("uid", F.lit(turn)) if turn == "other" else F.col("uid")).alias("key"), F.col("uid"), F.col("n"), F.col("at"), F.col("label"))
+            leader = F.struct((F.xxhash64("uid", F.lit(turn)) if turn else F.col("uid")).alias("key"), F.col("uid"), F.col("n"), F.col("at"), F.col("label"))
             lead = now.groupBy("h").agg(F.min(leader).alias("lead"))
             one = lead.select("h", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.at").alias("pa"), F.col("lead.label").alias("la"))
-        two = now.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"))
+        two = now.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), *([F.col("bits").alias("bb")] if in_full else []))
         # What can still be reached: sizes, and what is left behind this shingle if it is the first in common.
         near = (F.col("la") != F.col("lb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
         reach = (NUMERATOR + DENOMINATOR) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= NUMERATOR * (F.col("na") + F.col("nb"))
+        if in_full:
+            # Bitmaps bound from below in how many shingles two sets differ; linked ones differ in a seventh of both sizes at most.
+            differ = sum(F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITMAP_WORDS))
+            reach = reach & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("na") + F.col("nb")))
         candidates = one.join(two, "h").filter(near & reach).select("a", "b", "na", "nb")
-        if turn != "all":
-            # One leader each: the first of those that its shingles offer.
-            candidates = candidates.groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("x")).select(F.col("x.a").alias("a"), "b", F.col("x.na").alias("na"), "nb")
+        if not in_full:
+            # One leader each: the one that most of its shingles offer.
+            offers = candidates.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+            candidates = offers.groupBy("b", "nb").agg(F.max(F.struct("k", "a", "na")).alias("x")).select(F.col("x.a").alias("a"), "b", F.col("x.na").alias("na"), "nb")
         pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct()
         pairs = common.written(pairs, "pairs")
-        n_pairs = pairs.count()
-        if not n_pairs:
-            continue
-        fit = _overlaps(pairs.select("a", "b"), n_pairs, common_part).join(pairs, ["a", "b"]).filter((NUMERATOR + DENOMINATOR) * F.col("overlap") >= NUMERATOR * F.col("both")).select("a", "b")
-        fit = common.written(fit, "fit")
+        tried, gained = rows_in(pairs), 0
+        if tried:
+            fit = _overlaps(pairs.select("a", "b"), tried, common_part).join(pairs, ["a", "b"]).filter((NUMERATOR + DENOMINATOR) * F.col("overlap") >= NUMERATOR * F.col("both")).select("a", "b")
+            fit = common.written(fit, "fit")
+            gained = rows_in(fit)
         common.discard(pairs)
-        links = fit if links is None else links.unionByName(fit)
-        groups = common.written(components(links), "groups")
+        if gained:
+            links = fit if links is None else links.unionByName(fit)
+            groups = common.written(components(links), "groups")
+        if in_full or not tried:
+            break
+        turn += 1
     roots = classes.withColumn("root", F.col("uid"))
     if groups is not None:
         roots = classes.join(groups.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("component", "uid"))
