@@ -18,13 +18,13 @@ def effective(loose: DataFrame, packed: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_p")
 
 
-def resolve_names(names: DataFrame, refs: DataFrame) -> DataFrame:
+def resolve_names(names: DataFrame, refs: DataFrame, prefixes: tuple[str, ...] = ("", "refs/heads/", "refs/remotes/")) -> DataFrame:
     """``name, canonical, oid``: a name as it is, then as a branch, then as a remote's branch; nulls where none fits."""
     out = names.select("name")
-    for k, prefix in enumerate(("", "refs/heads/", "refs/remotes/")):
+    for k, prefix in enumerate(prefixes):
         side = refs.select(F.col("canonical").alias(f"c{k}"), F.col("oid").alias(f"o{k}"))
         out = out.join(side, F.concat(F.lit(prefix), F.col("name")) == F.col(f"c{k}"), "left")
-    return out.select("name", F.coalesce("c0", "c1", "c2").alias("canonical"), F.coalesce("o0", "o1", "o2").alias("oid"))
+    return out.select("name", F.coalesce(*(f"c{k}" for k in range(len(prefixes)))).alias("canonical"), F.coalesce(*(f"o{k}" for k in range(len(prefixes)))).alias("oid"))
 
 
 def parse_packed(lines: DataFrame) -> DataFrame:
@@ -89,6 +89,22 @@ def remotes(config: DataFrame) -> DataFrame:
     return values.groupBy(F.col("subsection").alias("name")).pivot("key", ["url", "fetch"]).agg(F.first("value"))
 
 
+def packed_without(lines: DataFrame, canonical: str) -> DataFrame:
+    """A packed reference file's numbered lines (``ordinal, value``) without one reference and its peeled id; all else stays."""
+    w = Window.orderBy("ordinal")  # one small file
+    gone = F.col("value").endswith(f" {canonical}")
+    peeled = F.col("value").startswith("^") & F.coalesce(F.lag(gone).over(w), F.lit(False))
+    return lines.withColumn("_gone", gone | peeled).filter(~F.col("_gone")).drop("_gone")
+
+
+def remote_of(names: DataFrame, remotes: DataFrame) -> DataFrame:
+    """``name, canonical, oid`` (the url) of remotes by plain or full name."""
+    known = remotes.select(F.col("name").alias("canonical"), F.col("url").alias("oid"))
+    plain = names.select("name", F.regexp_replace("name", "^(refs/)?remotes/", "").alias("_n"))
+    found = resolve_names(plain.select(F.col("_n").alias("name")).distinct(), known, ("",))
+    return plain.join(found.withColumnRenamed("name", "_n"), "_n").select("name", "canonical", "oid")
+
+
 def moved(refs: DataFrame, canonical: str, oid: str | None, overwrite: bool = False) -> DataFrame:
     """``refs`` after creating, moving or (``oid`` None) deleting a reference; an existing one moves only with ``overwrite``."""
     rest = refs.filter(F.col("canonical") != canonical)

@@ -70,3 +70,10 @@ def training_data(repo: Repo, revision: str = "HEAD", system: str = "", exclude:
 
 def ancestors(repo: Repo, revision: str) -> DataFrame:
     return dag.ancestors(repo.edges, repo._start(revision)).select("oid")
+
+
+def stash_patches(repo: Repo, oid: str, unified: int = patch.UNIFIED) -> dict[str, str]:
+    """The patch of each part of a stash."""
+    changes = written(repo.stash_changes(oid), "stash")
+    sections = patch.file_sections(changes, repo.blobs, None, oid, unified, by=("part",))
+    return {r["part"]: r["patch"] for r in patch.patches(sections, ("part",)).collect()}

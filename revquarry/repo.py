@@ -87,6 +87,12 @@ class Repo:
         """What is under way: a merge, a rebase and so on, or none."""
         return next((name for file, name in OPERATIONS if self.git_dir and os.path.exists(os.path.join(self.git_dir, file))), "none")
 
+    def head_moved(self, canonical: str) -> str:
+        """What HEAD's file holds after moving to a branch; refused while an operation is under way."""
+        if self.operation != "none":
+            raise ValueError(f"HEAD can't move during a {self.operation}")
+        return f"ref: {canonical}\n"
+
     @cached_property
     def commits(self) -> DataFrame:
         text = F.decode("data", "utf-8")

@@ -71,3 +71,9 @@ def ship_package(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; DataFrames that read it are of no use afterwards."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

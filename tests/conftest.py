@@ -10,8 +10,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 
 @pytest.fixture(scope="session")
 def spark():
-    from revquarry.session import local_session
+    from revquarry.session import clean, local_session
 
     session = local_session("4", 4, "4g")
     session.sparkContext.setLogLevel("OFF")
-    return session
+    yield session
+    clean(session)
