@@ -90,14 +90,28 @@ def benchmark_files(spark, n_files: int = 50_000, n_chars: int = 10_000, seed: i
 
 
 def delta_candidates(objects: DataFrame, k: int = 50) -> DataFrame:
-    """``oid, base, rank``: for each object up to k bases of its kind and of like size, nearest in size first.
+    """``oid, base, rank``: for each object up to k bases of its kind and of like size, nearest in size first, ties by id.
 
-    Sizes must be within a factor of 0.1 to 2 and differ by at most half of the larger one. Objects meet only in their
-    own band of sizes (powers of two) and the next, which holds all that can fit.
+    Sizes must be within a factor of 0.1 to 2 and differ by at most half of the larger one. Distinct sizes are ranked
+    (within powers of two, the bands before counted), and a size meets only those at most 2 (k + 1) ranks away, each
+    with its first k + 1 ids: nearer sizes and smaller ids would take all places before any other.
     """
-    band = F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int")
-    a = objects.select("oid", "kind", "size", band.alias("band"))
-    b = objects.select(F.col("oid").alias("base"), "kind", F.col("size").alias("base_size"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    fits = (F.col("oid") != F.col("base")) & (10 * F.col("base_size") >= F.col("size")) & (F.col("base_size") <= 2 * F.col("size")) & (2 * F.abs(F.col("size") - F.col("base_size")) <= F.greatest("size", "base_size"))
-    w = Window.partitionBy("oid").orderBy(F.abs(F.col("size") - F.col("base_size")), "base")
-    return a.join(b, ["kind", "band"]).filter(fits).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("oid", "base", "rank")
+    top = k + 1
+    first = F.row_number().over(Window.partitionBy("kind", "size").orderBy("oid"))
+    ids = objects.select("kind", "size", "oid").withColumn("_n", first).filter(F.col("_n") <= top)
+    sizes = ids.groupBy("kind", "size").agg(F.collect_list("oid").alias("oids")).withColumn("band", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
+    within = sizes.withColumn("_r", F.row_number().over(Window.partitionBy("kind", "band").orderBy("size")))
+    bands = sizes.groupBy("kind", "band").agg(F.count(F.lit(1)).alias("_c"))
+    before = bands.select("kind", "band", (F.sum("_c").over(Window.partitionBy("kind").orderBy("band")) - F.col("_c")).alias("_before"))
+    ranked = written(within.join(before, ["kind", "band"]).select("kind", "size", "oids", F.floor((F.col("_before") + F.col("_r")) / top).alias("slot")), "sizes")
+    near = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot")
+    a = ranked.select("kind", "size", near)
+    b = ranked.select("kind", F.col("size").alias("base_size"), "oids", "slot")
+    apart = F.abs(F.col("size") - F.col("base_size"))
+    fits = (10 * F.col("base_size") >= F.col("size")) & (F.col("base_size") <= 2 * F.col("size")) & (2 * apart <= F.greatest("size", "base_size"))
+    pairs = a.join(b, ["kind", "slot"]).filter(fits).select("kind", "size", apart.alias("apart"), F.explode("oids").alias("base"))
+    w = Window.partitionBy("kind", "size").orderBy("apart", "base")
+    best = pairs.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top).select("kind", "size", "apart", "base")
+    mine = Window.partitionBy("oid").orderBy("apart", "base")
+    found = objects.select("oid", "kind", "size").join(best, ["kind", "size"]).filter(F.col("oid") != F.col("base"))
+    return found.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k).select("oid", "base", "rank")
