@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -78,16 +78,17 @@ def search(index: DataFrame, commit_files: DataFrame, condition: Column | str) -
     return commit_files.select("commit", "path", "oid").join(hits, "oid")
 
 
-def similar(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def similar(vectors: DataFrame, queries: DataFrame, k: int = 10, block_queries: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, cosine`` of the k nearest vectors other than the query itself, exactly.
 
-    Queries are a small set by contract: each block of vectors meets all of them. Null and zero vectors take no part.
+    A stated set of queries meets all vectors, block by block of queries. Null and zero vectors take no part.
     """
-    from pyspark.sql import Window
-
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     wide = lambda df, i, v, n: df.select(F.col("vec_id").alias(i), F.transform("embedding", lambda x: x.cast("double")).alias(v)).filter(F.col(v).isNotNull()).withColumn(n, norm(F.col(v))).filter(F.col(n) > 0)
-    pairs = wide(vectors, "vec_id", "v", "n").join(wide(queries, "query_id", "q", "m"), F.col("vec_id") != F.col("query_id"))
+    blocks = max(1, -(-queries.count() // block_queries))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    asked = wide(queries, "query_id", "q", "m").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    pairs = wide(vectors, "vec_id", "v", "n").select("*", every).join(asked, "block").filter(F.col("vec_id") != F.col("query_id"))
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     scored = pairs.select("query_id", "vec_id", F.round(dot / (F.col("n") * F.col("m")), 9).alias("cosine"))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")

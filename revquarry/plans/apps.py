@@ -16,8 +16,8 @@ def log_history(repo: Repo, revision: str = "HEAD", months: int | None = 6) -> D
     """``oid, time, preview`` along first parents, of the last months before the newest commit."""
     log = repo.log(revision).select("seq", "oid", F.timestamp_seconds("committer.epoch").alias("time"), O.preview("message").alias("preview"))
     if months is not None:
-        newest = log.agg(F.max("time").alias("newest"))
-        log = log.join(F.broadcast(newest)).filter(F.col("time") >= F.add_months("newest", -months)).drop("newest")  # one row
+        newest = log.agg(F.max("time")).first()[0]
+        log = log.filter(F.col("time") >= F.add_months(F.lit(newest), -months))
     return log.orderBy("seq").drop("seq")
 
 
