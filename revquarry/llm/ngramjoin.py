@@ -249,7 +249,7 @@ def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BY
     turn, tried, gained = 0, 1, 1
     while True:
         # Leaders are asked as long as a fair part of the pairs fits; what they leave apart is tried in full.
-        in_full = turn >= LEADER_TURNS or (turn > 1 and FAIR_PART * gained < tried)
+        in_full = turn >= LEADER_TURNS or (turn > 1 and (not tried or FAIR_PART * gained < tried))
         now = _labelled(prefixes_met, groups)
         mixed = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
         now = now.join(mixed, "h")
@@ -287,7 +287,8 @@ def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BY
         if gained:
             links = fit if links is None else links.unionByName(fit)
             groups = common.written(components(links), "groups")
-        if in_full or not tried:
+        # No candidate may be the leaders' fault alone: without the full turn, only what has no list of two groups is done.
+        if in_full or (not tried and not now.limit(1).count()):
             break
         turn += 1
     roots = classes.withColumn("root", F.col("uid"))

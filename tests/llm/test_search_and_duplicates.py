@@ -192,6 +192,17 @@ def test_a_chain_and_a_crowd(spark):
     assert sorted(map(tuple, ngramjoin.join_groups(df, least_fragments=3).collect()), key=str) == brute_join(rows)
 
 
+def test_members_of_lists_whose_leader_links_with_none(spark):
+    """A leads every list, but is too long to link with the others, which link in two pairs."""
+    p, q = [f"p{i}" for i in range(94)], [f"q{i}" for i in range(94)]
+    own = lambda name: [f"{name}{i}" for i in range(10)]
+    rows = [(k, " ".join(w)) for k, w in enumerate([p + q, p + own("b"), p + own("c"), q + own("d"), q + own("e")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_join(rows)
+    assert [c for _, _, c in want] == [0, 1, 1, 3, 3]
+    assert sorted(map(tuple, ngramjoin.join_groups(df).collect()), key=str) == want
+
+
 def test_shingle_edges(spark):
     same = "one two three four five six"
     rows = [(1, same), (2, same.upper()), (3, "one two"), (4, " one\ttwo\v"), (5, ""), (6, None), (7, " \n"), (8, "É one"), (9, "é one"), (None, same), (1, same), (10, "one two")]
