@@ -134,7 +134,9 @@ class Tile:
                 if t < table:
                     earlier |= by_y | by_x | same
                 else:
-                    here = np.where(same | by_x, x[:, 0], np.where(by_y, y[:, 0], -1))
+                    # Two that probe each other meet in both home cells; which one counts may not depend on the order of rows or tiles.
+                    both = by_x & by_y
+                    here = np.where(both, np.minimum(x[:, 0], y[:, 0]), np.where(same | by_x, x[:, 0], np.where(by_y, y[:, 0], -1)))
             mine = ~earlier & (here == mark)
             i, j = i[mine], j[mine]
         return i, j

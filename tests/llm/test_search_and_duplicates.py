@@ -125,6 +125,30 @@ def test_recall_of_borderline_pairs():
     assert met.any(axis=1).mean() > 0.99
 
 
+@pytest.mark.parametrize(("p_left_in_p", "p_left_in_q"), itertools.product((True, False), repeat=2))
+def test_a_pair_that_probes_each_other_counts_once(p_left_in_p, p_left_in_q):
+    """Its members lie in the home cells of both, in any order of rows or tiles in either."""
+    unit, marks = np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([[5, 3], [3, 5]])
+    tile = neardup.Tile(0.95, 1, 1)
+    for a, b, tiles in ((0, 0, [0, 0]), (0, 1, [0, 1])):
+        met = 0
+        for mark, p_left in ((5, p_left_in_p), (3, p_left_in_q)):
+            order = [0, 1] if p_left else [1, 0]
+            met += len(tile.links(0, mark, a, b, np.array(tiles), unit[order], marks[order])[0])
+        assert met == 1
+
+
+def test_links_in_cells_of_unequal_tile_counts(spark):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((8, 16))
+    vectors = [(base[k % 8] + rng.standard_normal(16) * 0.15).tolist() for k in range(160)]
+    n, component, links = brute_vectors(vectors)
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(neardup.near_duplicates(df, tables=12, probes=24, tile=3).collect())
+    assert links and [r.n_links for r in got] == n.tolist()
+    assert [r.component_id for r in got] == component
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, float("nan")]), (6, [1.0, None]), (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, []), (9, [1e30, 1e25]), (10, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
