@@ -310,7 +310,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     n = gone.count()
     left = docs.join(F.broadcast(gone) if 16 * n <= PAIRS_BROADCAST else gone, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null")
     if not repeated.limit(1).count():
         return left
     return _with_repeats(spark, docs, left)

@@ -240,6 +240,14 @@ def test_shingle_edges(spark):
     assert sorted(r.doc_id for r in ngramjoin.one_of_each(unique).collect()) == [1, 3, 5, 6, 7, 8, 9, 10]
 
 
+def test_one_of_each_with_a_single_null_id(spark):
+    same = "one two three four five six"
+    df = spark.createDataFrame([(1, same), (None, same), (2, "one two")], "doc_id long, text string")
+    assert sorted((r.doc_id for r in ngramjoin.one_of_each(df).collect()), key=str) == [1, 2]
+    alone = df.filter("doc_id is null or doc_id = 2")
+    assert sorted((r.doc_id for r in ngramjoin.one_of_each(alone).collect()), key=str) == [2, None]
+
+
 def test_hashes():
     h = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
     for x in (h, h[:1], h[:3], np.arange(7, dtype=np.uint64)):
