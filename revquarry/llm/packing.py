@@ -4,7 +4,8 @@ The genes are whole sequences (bins). Crossover injects well-filled bins of one
 that held any of their pieces, and puts the displaced pieces back by best fit, longest first; mutation empties the
 poorest bins likewise. Pieces are dealt at random into blocks of bounded size; each block evolves on several islands,
 whose elites migrate to the next island between epochs, and the best island's bins stand. Bins that a block could not
-fill go to the next round, where the blocks are dealt anew, until one block holds all that is left.
+fill go to the next round, where the blocks are dealt anew, until one block holds all that is left or rounds with the
+largest blocks allowed fill hardly any more; then every block's bins stand.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .tokens import word_pieces
 CAPACITY = 4096
 #: Pieces in a block, about: bounds a task's memory and the cost of a generation.
 BLOCK_PIECES = 4096
+#: Blocks grow, where hardly anything fits any better, to so many times that at most.
+MOST_GROWTH = 4
+#: Bits of a bin's number in its block within a sequence's id; a block has far fewer bins.
+BIN_BITS = 22
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: A bin at least so full is kept; the pieces of others are packed again with those of other blocks.
 KEPT_FILL = 0.999
@@ -166,7 +171,7 @@ def _settle(best: DataFrame, capacity: int, level: int, last: bool) -> DataFrame
                     kept = last or sum(lengths[i] for i in members) >= KEPT_FILL * capacity
                     offset = 0
                     for i in members:
-                        rows.append((pids[i], lengths[i], (((level << 36) + (block << 14) + k) << 1) + 1 if kept else None, offset if kept else None))
+                        rows.append((pids[i], lengths[i], (((level << 56) + (block << BIN_BITS) + k) << 1) + 1 if kept else None, offset if kept else None))
                         offset += lengths[i]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -177,10 +182,10 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOC
     """``pid, sequence_id, offset`` for every piece of a written table with ``pid, length``."""
     whole = pieces.filter(F.col("length") == capacity).select("pid", (2 * F.col("pid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, left = [whole], pieces.filter(F.col("length") < capacity).select("pid", "length")
-    level, n = 0, left.count()
+    level, n, most, stuck = 0, left.count(), MOST_GROWTH * block_pieces, False
     while n:
         blocks = -(-n // block_pieces)
-        last = blocks == 1 or level > 40
+        last = blocks == 1 or level > 40 or stuck
         item = F.transform(F.sort_array(F.collect_list(F.struct("length", "pid")), asc=False), lambda x: x)
         grouped = left.groupBy(F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(blocks)).alias("block")).agg(item.alias("items"))
         rows = grouped.select("block", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.col("items.pid").alias("pids"), F.col("items.length").alias("lengths"), F.lit(None).cast("array<int>").alias("own"), F.lit(None).cast("array<int>").alias("migrant"))
@@ -196,8 +201,9 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOC
         done.append(settled.filter(F.col("sequence_id").isNotNull()).select("pid", "sequence_id", "offset"))
         left = settled.filter(F.col("sequence_id").isNull()).select("pid", "length")
         left_n = 0 if last else left.count()
-        if left_n > 0.9 * n:  # hardly anything fits any better: larger blocks
-            block_pieces *= 2
+        if left_n > 0.9 * n:  # hardly anything fits any better: larger blocks, as far as a task's memory bears them
+            stuck = 2 * block_pieces > most
+            block_pieces = block_pieces if stuck else 2 * block_pieces
         level, n = level + 1, left_n
     out = done[0]
     for x in done[1:]:

@@ -159,6 +159,29 @@ def test_packing_is_near_the_least(spark):
     assert check_packing(rows, 1000) <= 1.01 * least + 1
 
 
+def test_blocks_stay_bounded_where_no_bin_fills(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(2049, 4000, 1500).tolist()
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    largest, epoch = [], packing._epoch
+
+    def seen(rows, *rest):
+        largest.append(rows.selectExpr("max(size(pids))").first()[0])
+        return epoch(rows, *rest)
+
+    monkeypatch.setattr(packing, "_epoch", seen)
+    rows = packing.assign(pieces, block_pieces=50).collect()
+    assert max(largest) <= 400  # four times 50, and as much again for uneven dealing
+    assert len({r.pid for r in rows}) == len({r.sequence_id for r in rows}) == 1500
+
+
+def test_sequences_of_a_block_of_many_bins(spark):
+    n = 20_000
+    best = spark.createDataFrame([(k, list(range(k * n, k * n + n)), [4000] * n, list(range(n))) for k in (0, 1)], "block long, pids array<long>, lengths array<long>, own array<int>")
+    rows = packing._settle(best, packing.CAPACITY, 41, True).collect()
+    assert len({r.sequence_id for r in rows}) == 2 * n
+
+
 def test_crossover_and_mutation_keep_every_item():
     import random
 
