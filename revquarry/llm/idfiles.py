@@ -1,7 +1,7 @@
 """Token ids in binary shard files, read by key through a minimal perfect hash.
 
 A shard is ``<n>.ids``, nothing but the documents' ids in ascending document order as little-endian unsigned integers
-(2 bytes when the vocabulary allows, else 4), and ``<n>.mph``, its index: a minimal perfect hash of the shard's
+(2 bytes when the vocabulary allows, else 4; the index tells), and ``<n>.mph``, its index: a minimal perfect hash of the shard's
 distinct document keys onto 0..n-1, a 32-bit fingerprint, the first record and the number of records of each key, and
 the records' offsets in ids. A key's shard follows from the shards' key ranges, so a lookup is: range, hash,
 fingerprint, offset. The hash is a cascade of bit arrays: keys that are alone at their bit of a level stay there, the
@@ -24,13 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import byte_level_encoder
+from .tokens import byte_level_encoder, greatest_id
 
 #: Documents in a shard, about.
 SHARD_DOCS = 8192
-MAGIC = b"IDSHARD1"
+MAGIC = b"IDSHARD2"
 LEVELS = 24
-ID_BYTES = 2
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -101,21 +100,21 @@ class PerfectHash:
 class ShardIndex:
     """What ``<n>.mph`` holds."""
 
-    def __init__(self, hash_: PerfectHash, prints: np.ndarray, first: np.ndarray, count: np.ndarray, offsets: np.ndarray):
-        self.hash, self.prints, self.first, self.count, self.offsets = hash_, prints, first, count, offsets
+    def __init__(self, hash_: PerfectHash, prints: np.ndarray, first: np.ndarray, count: np.ndarray, offsets: np.ndarray, width: int = 2):
+        self.hash, self.prints, self.first, self.count, self.offsets, self.width = hash_, prints, first, count, offsets, width
 
     @classmethod
-    def build(cls, keys: np.ndarray, lengths: np.ndarray, first_record: int) -> ShardIndex:
-        """``keys`` ascending, perhaps repeated; records before ``first_record`` have no key (null document ids)."""
+    def build(cls, keys: np.ndarray, lengths: np.ndarray, first_record: int, width: int = 2) -> ShardIndex:
+        """``keys`` ascending, perhaps repeated; records before ``first_record`` have no key (null document ids). Ids take ``width`` bytes."""
         distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
         hash_ = PerfectHash.build(distinct)
         number = hash_.numbers(distinct)
         prints, firsts, counts = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         prints[number], firsts[number], counts[number] = fingerprint(distinct), first + first_record, count
-        return cls(hash_, prints, firsts, counts, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+        return cls(hash_, prints, firsts, counts, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), width)
 
     def pack(self) -> bytes:
-        parts = [MAGIC, struct.pack("<QQ", len(self.prints), len(self.offsets)), self.hash.pack()]
+        parts = [MAGIC, struct.pack("<QQB", len(self.prints), len(self.offsets), self.width), self.hash.pack()]
         return b"".join([*parts, self.prints.astype("<u4").tobytes(), self.first.astype("<i8").tobytes(), self.count.astype("<i8").tobytes(), self.offsets.astype("<i8").tobytes()])
 
     @classmethod
@@ -123,9 +122,9 @@ class ShardIndex:
         f = io.BytesIO(raw)
         if f.read(8) != MAGIC:
             raise ValueError("not a shard index")
-        n, m = struct.unpack("<QQ", f.read(16))
+        n, m, width = struct.unpack("<QQB", f.read(17))
         hash_ = PerfectHash.unpack(f)
-        return cls(hash_, *(np.frombuffer(f.read(k * size), dtype=kind) for k, size, kind in ((n, 4, "<u4"), (n, 8, "<i8"), (n, 8, "<i8"), (m, 8, "<i8"))))
+        return cls(hash_, *(np.frombuffer(f.read(k * size), dtype=kind) for k, size, kind in ((n, 4, "<u4"), (n, 8, "<i8"), (n, 8, "<i8"), (m, 8, "<i8"))), width)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First record and number of records of each key; 0 records where its fingerprint is not the stored one."""
@@ -186,7 +185,7 @@ class IdFiles:
         with store.open_input_file(f"{root}/{n}.ids") as f:
             for k in range(int(first[0]), int(first[0] + count[0])):
                 a, b = int(index.offsets[k]), int(index.offsets[k + 1])
-                out.append(np.frombuffer(f.read_at((b - a) * ID_BYTES, a * ID_BYTES), dtype=f"<u{ID_BYTES}").astype(np.uint32))
+                out.append(np.frombuffer(f.read_at((b - a) * index.width, a * index.width), dtype=f"<u{index.width}").astype(np.uint32))
         return out
 
 
@@ -206,6 +205,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, shard_docs: int = SHA
     folder = folder or common.new_folder(spark, "ids")
     store, root = _store(folder)
     store.create_dir(root)
+    width = 2 if max(greatest_id(path), end_id) < 1 << 16 else 4
 
     def run(batches):
         encode = byte_level_encoder(path)
@@ -214,7 +214,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, shard_docs: int = SHA
 
         def flush():
             _put(store, f"{root}/{now}.ids", b"".join(payload))
-            _put(store, f"{root}/{now}.mph", ShardIndex.build(np.array(keys, dtype=np.int64), np.array(lengths, dtype=np.int64), nulls).pack())
+            _put(store, f"{root}/{now}.mph", ShardIndex.build(np.array(keys, dtype=np.int64), np.array(lengths, dtype=np.int64), nulls, width).pack())
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([sum(lengths)], pa.int64())], names=["shard", "ids"])
 
         for batch in common.slices(batches):
@@ -228,7 +228,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, shard_docs: int = SHA
                 else:
                     keys.append(key)
                 ids = encode(text)
-                payload += [ids.astype(f"<u{ID_BYTES}").tobytes(), end_id.to_bytes(ID_BYTES, "little")]
+                payload += [ids.astype(f"<u{width}").tobytes(), end_id.to_bytes(width, "little")]
                 lengths.append(len(ids) + 1)
         if now is not None:
             yield flush()
@@ -273,7 +273,7 @@ def read_ids(spark: SparkSession, files: IdFiles, keys: DataFrame) -> DataFrame:
                 for key, a, b in records:
                     for k in range(a, b):
                         start, end = int(index.offsets[k]), int(index.offsets[k + 1])
-                        ids = np.frombuffer(payload, dtype=f"<u{ID_BYTES}", count=end - start, offset=start * ID_BYTES)
+                        ids = np.frombuffer(payload, dtype=f"<u{index.width}", count=end - start, offset=start * index.width)
                         rows.append((key, before[n] + start, end - start, zlib.crc32(ids.astype("<u4").tobytes())))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -46,6 +46,13 @@ def library_tokenizer(path: str):
     return tokenizer
 
 
+def greatest_id(path: str) -> int:
+    """The greatest id of a .json vocabulary, added tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte, built by their published rule."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -1,5 +1,6 @@
 """Encoding, counting, writing and packing of tokens against the libraries themselves."""
 
+import json
 import base64
 import hashlib
 import zlib
@@ -98,6 +99,26 @@ def test_id_files(spark, docs):
     assert idfiles.read_ids(spark, empty, docs.limit(0)).count() == 0
 
 
+def test_id_files_of_a_large_vocabulary(spark, tmp_path):
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"]
+    last = max((k for k in vocab if k not in special), key=vocab.get)
+    text = Tokenizer.from_file(BYTES).decode([vocab[last]])
+    vocab[last] = 70_000
+    path = str(tmp_path / "large.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    want = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+    assert max(want) == 70_000
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    files = idfiles.write_ids(docs, path)
+    assert [x.tolist() for x in files.get(1)] == [want]
+    rows = idfiles.read_ids(spark, files, docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, len(want), zlib.crc32(np.array(want, dtype="<u4").tobytes())), (2, len(want), 1, zlib.crc32(np.array([2], dtype="<u4").tobytes()))]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000, 50_000):
