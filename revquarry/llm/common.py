@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ..session import discard, new_folder, ship_package, workspace, written
 
-__all__ = ["default_parallelism", "discard", "new_folder", "ship_package", "slices", "workspace", "written"]
+__all__ = ["default_parallelism", "discard", "free_name", "new_folder", "ship_package", "slices", "workspace", "written"]
 
 #: Rows that become Python objects at once.
 SLICE_ROWS = 512
@@ -20,6 +20,14 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of ``taken`` equals, in whatever case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones: a batch may hold tens of megabytes of text, which as Python strings take more again.
 

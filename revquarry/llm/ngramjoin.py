@@ -8,14 +8,19 @@ fragments, make up the threshold's share of its set; most documents end here.
 
 The rest are joined. Documents that can link have a shingle in common among the first of each in the order (rarest
 first; the prefix). Pairs found so are verified fragment by fragment: each counts the overlap of the two segments, and
-the counts are summed per pair. Documents with equal sets are one. Where many documents share a prefix shingle, each
-is first paired with one leader only; what that joins needs no further pair to be told connected, and only pairs that
-are still apart are then tried, all of them that sizes, positions and bitmaps of the sets don't rule out. So no link that joins two groups is lost, and a group of copies is never
-expanded into all its pairs.
+the counts are summed per pair. Documents with equal sets are one. Every document has a random level, three quarters
+of them level 0, three quarters of the rest level 1, and so on. In each prefix shingle's list, the members of the
+highest level are paired with the others first, then in turn those of the next lower level, four times as many. What a
+turn joins is one group from then on, and only pairs of different groups are tried, of which one at least is outside
+the list's largest group. So every pair that sizes and positions don't rule out is tried or found connected already:
+no link that joins two groups is lost. A document linked with a share of a list meets one of that share after about as
+many tries as the share goes into the list, so neither copies nor near copies are expanded into all their pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,12 +38,12 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 BLOCK_BYTES, FRAGMENT_BYTES, LEAST_FRAGMENTS = 16_000_000, 16_000_000, 32
 #: Groups of fragments that overlaps are counted in, and bytes of pairs up to which they are broadcast.
 COUNTED_IN, PAIRS_BROADCAST = 8, 8_000_000
-#: Turns with leaders at most, and the part of pairs that must fit for another (one in so many).
-LEADER_TURNS, FAIR_PART = 6, 4
+#: Times as many members of a list are paired with the others in each turn.
+GROWTH = 4
+#: Rows that a worker hands on at once, and what a set takes in memory besides its hashes.
+ROWS_TOGETHER, SET_BYTES = 4096, 256
 #: Words that a worker remembers the hash of at most.
 CACHE_WORDS = 200_000
-#: 64-bit words of a document's bitmap.
-BITMAP_WORDS = 8
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -92,58 +97,59 @@ def unpack_hashes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
 
 
-def bitmap(h: np.ndarray) -> list[int]:
-    """BITMAP_WORDS 64-bit words of the set's parities by hash: two sets differ in at least as many shingles as their bitmaps in bits."""
-    bits = np.bincount((h % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
-
-
-DEALT = pa.schema([("fragment", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("bits", pa.list_(pa.int64())), ("hashes", pa.binary()), ("places", pa.binary())])
-DEALT_DDL = "fragment int, uid long, doc_id long, n long, same binary, bits array<long>, hashes binary, places binary"
-FOUND = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("bits", pa.list_(pa.int64())), ("fragment", pa.int32()), ("hashes", pa.list_(pa.int64())), ("shared_by", pa.list_(pa.int32()))])
-FOUND_DDL = "uid long, doc_id long, n long, same binary, bits array<long>, fragment int, hashes array<long>, shared_by array<int>"
+DEALT = pa.schema([("fragment", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+DEALT_DDL = "fragment int, uid long, doc_id long, n long, same binary, hashes binary, places binary"
+FOUND = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("fragment", pa.int32()), ("hashes", pa.list_(pa.int64())), ("shared_by", pa.list_(pa.int32()))])
+FOUND_DDL = "uid long, doc_id long, n long, same binary, fragment int, hashes array<long>, shared_by array<int>"
 
 
 def _dealt(docs: DataFrame, fragments: int, words: int, block_bytes: int) -> DataFrame:
     """A row per document, and per block and fragment one with the block's segments of it."""
 
+    def table(rows: list) -> list[pa.RecordBatch]:
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)], schema=DEALT).to_batches()
+
     def run(batches):
         hashes = _Hashes()
         uid = TaskContext.get().partitionId() << 33
-        base, sets, size, seen, rows = uid, [], 0, set(), []
-
-        def flush():
-            nonlocal base, sets, size, seen, rows
-            if sets:
-                h = np.concatenate([s for _, s in sets])
-                place = np.repeat(np.array([p for p, _ in sets], dtype=np.uint32), [len(s) for _, s in sets])
-                order = np.argsort(h, kind="stable")
-                sets = []
-                h, place = h[order], place[order]
-                del order
-                # A fragment is a range of hashes.
-                edges = np.searchsorted(h, np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64))
-                for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)], strict=True)):
-                    if b > a:
-                        rows.append((k, base, None, None, None, None, pack_hashes(h[a:b]), place[a:b].astype(np.uint16 if uid - base < 1 << 16 else np.uint32).tobytes()))
-            out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DEALT, strict=True)] if rows else [pa.array([], f.type) for f in DEALT], schema=DEALT)
-            base, sets, size, seen, rows = uid, [], 0, set(), []
-            return out.to_batches(max_chunksize=1024)
+        base, sets, size, seen = uid, [], 0, set()
+
+        def block():
+            nonlocal base, sets, size, seen
+            h = np.concatenate([s for _, s in sets])
+            place = np.repeat(np.array([p for p, _ in sets], dtype=np.uint32), [len(s) for _, s in sets])
+            wide = np.uint16 if uid - base < 1 << 16 else np.uint32
+            of = base
+            base, sets, size, seen = uid, [], 0, set()
+            order = np.argsort(h, kind="stable")
+            h, place = h[order], place[order]
+            del order
+            # A fragment is a range of hashes.
+            edges = np.searchsorted(h, np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64))
+            cut = [(k, a, b) for k, (a, b) in enumerate(zip([0, *edges], [*edges, len(h)], strict=True)) if b > a]
+            for i in range(0, len(cut), 1024):
+                yield from table([(k, of, None, None, None, pack_hashes(h[a:b]), place[a:b].astype(wide).tobytes()) for k, a, b in cut[i : i + 1024]])
 
         for batch in common.slices(batches):
+            rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s = shingle_set(text, hashes, words)
                 same = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((uid % fragments, uid, doc_id, len(s), same, bitmap(s), None, None))
+                rows.append((uid % fragments, uid, doc_id, len(s), same, None, None))
                 if len(s) and same not in seen:  # equal sets of a block are one already
                     seen.add(same)
                     sets.append((uid - base, s))
-                    size += 8 * len(s)
+                    size += 8 * len(s) + SET_BYTES
                 uid += 1
                 if size >= block_bytes:
-                    yield from flush()
-        if rows:
-            yield from flush()
+                    yield from block()
+                if len(rows) == ROWS_TOGETHER:
+                    yield from table(rows)
+                    rows = []
+            if rows:
+                yield from table(rows)
+        if sets:
+            yield from block()
 
     return docs.mapInArrow(run, DEALT_DDL)
 
@@ -176,7 +182,7 @@ def _fragments(dealt: DataFrame, fragments: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else np.empty(0, dtype=np.int64)
         offsets = pa.array(np.concatenate([starts, [len(uid)]]), pa.int32())
         m = len(starts)
-        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.binary())]
         table = pa.Table.from_arrays([pa.array(uid[starts], pa.int64()), *none, pa.array(np.full(m, fragment), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(count))], schema=FOUND)
         return table.to_batches(max_chunksize=4096)
 
@@ -185,7 +191,7 @@ def _fragments(dealt: DataFrame, fragments: int) -> DataFrame:
         for batch in batches:
             docs = batch.filter(batch["n"].is_valid())
             if len(docs):
-                yield pa.RecordBatch.from_arrays([docs["uid"], docs["doc_id"], docs["n"], docs["same"], docs["bits"], pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int32()))], schema=FOUND)
+                yield pa.RecordBatch.from_arrays([docs["uid"], docs["doc_id"], docs["n"], docs["same"], pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.list_(pa.int64())), pa.nulls(len(docs), pa.list_(pa.int32()))], schema=FOUND)
             segments = batch.filter(batch["n"].is_null())
             for row in zip(*(segments[c].to_pylist() for c in ("fragment", "uid", "hashes", "places")), strict=True):
                 if blobs and blobs[0][0] != row[0]:
@@ -207,10 +213,42 @@ def _overlaps(pairs: DataFrame, n_pairs: int, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("k").alias("overlap"))
 
 
-def _labelled(prefixes: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return prefixes.withColumn("label", F.col("uid"))
-    return prefixes.join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid")).drop("component")
+def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``id, component`` after ``links`` (``a, b``) between components or ids that have none yet."""
+    found = common.written(components(links), "joined")
+    if groups is None:
+        return found
+    now = groups.join(found.select(F.col("id").alias("component"), F.col("component").alias("_now")), "component", "left")
+    fresh = found.join(groups.select("id"), "id", "left_anti")
+    return common.written(now.select("id", F.coalesce("_now", "component").alias("component")).unionByName(fresh.select("id", "component")), "groups")
+
+
+def _in_mixed_lists(met: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``met`` with each member's group as ``label``, and whether that is the list's largest; lists of one group are left out.
+
+    Written, so that the joins on it start from plain exchanges, which Spark can split where a shingle is frequent.
+    """
+    now = met.withColumn("label", F.col("uid"))
+    if groups is not None:
+        now = met.join(groups.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("component", "uid")).drop("component")
+    lists = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("k"))
+    lists = common.written(lists.filter("k > 1").select("h", "main"), "lists")
+    out = common.written(now.join(lists, "h").withColumn("main", F.col("label") == F.col("main")), "mixed")
+    common.discard(lists)
+    return out
+
+
+def _turn(members: DataFrame, level: int) -> DataFrame:
+    """``a, b, la, lb, both``: the pairs of the lists' members of this level with others of this level or a lower one."""
+    side = lambda x: [F.col("h"), *(F.col(c).alias(f"{c[0]}{x}") for c in ("uid", "n", "place", "label"))]
+    # What can still be reached: sizes, and what is left behind this shingle if it is the first in common.
+    near = (F.col("la") != F.col("lb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
+    reach = (NUMERATOR + DENOMINATOR) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= NUMERATOR * (F.col("na") + F.col("nb"))
+    lead, rest = members.filter(F.col("level") == level), members.filter(F.col("level") <= level)
+    met = [one.select(side("a")).join(two.select(side("b")), "h").filter(near & reach) for one, two in ((lead, rest.filter("not main")), (lead.filter("not main"), rest.filter("main")))]
+    swap = F.col("ua") > F.col("ub")
+    pick = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met[0].unionByName(met[1]).select(pick("ub", "ua", "a"), pick("ua", "ub", "b"), pick("lb", "la", "la"), pick("la", "lb", "lb"), (F.col("na") + F.col("nb")).alias("both")).distinct()
 
 
 def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES, fragment_bytes: int = FRAGMENT_BYTES, least_fragments: int = LEAST_FRAGMENTS) -> DataFrame:
@@ -226,102 +264,73 @@ def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BY
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(least_fragments, -(-size // fragment_bytes))
     found = common.written(_fragments(_dealt(docs, fragments, words, block_bytes), fragments), "fragments")
-    rows = found.filter(F.col("n").isNotNull()).select("uid", "doc_id", "n", "same", "bits")
+    rows = found.filter(F.col("n").isNotNull()).select("uid", "doc_id", "n", "same")
     # Equal sets are one class; its least uid is the first of its block and so has the segments.
-    classes = rows.filter("n > 0").groupBy("same", "n").agg(F.min("uid").alias("uid"))
+    classes = common.written(rows.filter("n > 0").groupBy("same", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id")), "classes")
     segments = found.filter(F.col("fragment").isNotNull()).select("uid", "fragment", "hashes", "shared_by")
     enough = segments.groupBy("uid").agg(F.sum(F.size("hashes")).alias("m")).join(classes.select("uid", "n"), "uid").filter(DENOMINATOR * F.col("m") >= NUMERATOR * F.col("n"))
-    alive = common.written(enough.join(rows.select("uid", "bits"), "uid").select("uid", "n", "m", "bits"), "alive")
-    parts = segments.join(alive.drop("bits"), "uid").withColumn("part", (F.col("fragment") * COUNTED_IN / F.lit(fragments)).cast("int"))
+    parts = segments.join(enough, "uid").withColumn("part", (F.col("fragment") * COUNTED_IN / F.lit(fragments)).cast("int"))
     kept = common.written(parts.groupBy("uid", "n", "m", "part").agg(F.flatten(F.collect_list("hashes")).alias("hashes"), F.flatten(F.collect_list("shared_by")).alias("shared_by")), "segments")
     common_part = kept.select("uid", "part", "hashes")
     # The prefix: with a of n shingles at least to be shared, one of the first n - a + 1. Those of this document alone come first.
     order = F.sort_array(F.flatten(F.collect_list(F.zip_with("shared_by", "hashes", lambda by, h: F.struct(by.alias("by"), h.alias("h"))))))
     first = F.col("n") - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) + 1 - (F.col("n") - F.col("m"))
-    prefixes = kept.groupBy("uid", "n", "m").agg(order.alias("shared")).select("uid", "n", F.posexplode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("at", "s"), "m").select("uid", "n", (F.col("n") - F.col("m") + F.col("at")).alias("at"), F.col("s.h").alias("h"))
+    prefixes = kept.groupBy("uid", "n", "m").agg(order.alias("shared")).select("uid", "n", F.posexplode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("at", "s"), "m").select("uid", "n", (F.col("n") - F.col("m") + F.col("at")).alias("place"), F.col("s.h").alias("h"))
     prefixes = common.written(prefixes, "prefixes")
-    lonely = prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    prefixes_met = common.written(prefixes.join(lonely, "h"), "met")
+    lists = common.written(prefixes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "lists")
+    longest = lists.agg(F.max("k")).first()[0] or 1
+    top = math.ceil(math.log(longest, GROWTH))
+    random = (F.shiftrightunsigned(F.xxhash64("uid", F.lit(3)), 11) + 1) * 2.0**-53
+    level = F.least(F.floor(-F.log(random) / math.log(GROWTH)), F.lit(top)).cast("int")
+    met = common.written(prefixes.join(lists.select("h"), "h").withColumn("level", level), "met")
     common.discard(prefixes)
 
-    links: DataFrame | None = None
     groups: DataFrame | None = None
-    turn, tried, gained = 0, 1, 1
-    while True:
-        # Leaders are asked as long as a fair part of the pairs fits; what they leave apart is tried in full.
-        in_full = turn >= LEADER_TURNS or (turn > 1 and (not tried or FAIR_PART * gained < tried))
-        now = _labelled(prefixes_met, groups)
-        mixed = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
-        now = now.join(mixed, "h")
-        if in_full:
-            # In each prefix shingle's list, those outside its most frequent group meet all others of another group.
-            now = now.join(alive.select("uid", "bits"), "uid")
-            counts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
-            most = counts.groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-            one = now.join(most, "h").filter("label <> main").select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("label").alias("la"), F.col("bits").alias("ba"))
-        else:
-            leader = F.struct((F.xxhash64("uid", F.lit(turn)) if turn else F.col("uid")).alias("key"), F.col("uid"), F.col("n"), F.col("at"), F.col("label"))
-            lead = now.groupBy("h").agg(F.min(leader).alias("lead"))
-            one = lead.select("h", F.col("lead.uid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.at").alias("pa"), F.col("lead.label").alias("la"))
-        two = now.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("label").alias("lb"), *([F.col("bits").alias("bb")] if in_full else []))
-        # What can still be reached: sizes, and what is left behind this shingle if it is the first in common.
-        near = (F.col("la") != F.col("lb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))
-        reach = (NUMERATOR + DENOMINATOR) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= NUMERATOR * (F.col("na") + F.col("nb"))
-        if in_full:
-            # Bitmaps bound from below in how many shingles two sets differ; linked ones differ in a seventh of both sizes at most.
-            differ = sum(F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITMAP_WORDS))
-            reach = reach & ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("na") + F.col("nb")))
-        candidates = one.join(two, "h").filter(near & reach).select("a", "b", "na", "nb")
-        if not in_full:
-            # One leader each: the one that most of its shingles offer.
-            offers = candidates.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-            candidates = offers.groupBy("b", "nb").agg(F.max(F.struct("k", "a", "na")).alias("x")).select(F.col("x.a").alias("a"), "b", F.col("x.na").alias("na"), "nb")
-        pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct()
-        pairs = common.written(pairs, "pairs")
-        tried, gained = rows_in(pairs), 0
+    for turn in range(top, -1, -1):
+        members = _in_mixed_lists(met, groups)
+        if not rows_in(members):
+            break
+        pairs = common.written(_turn(members, turn), "pairs")
+        common.discard(members)
+        tried = rows_in(pairs)
         if tried:
-            fit = _overlaps(pairs.select("a", "b"), tried, common_part).join(pairs, ["a", "b"]).filter((NUMERATOR + DENOMINATOR) * F.col("overlap") >= NUMERATOR * F.col("both")).select("a", "b")
-            fit = common.written(fit, "fit")
-            gained = rows_in(fit)
+            fit = _overlaps(pairs.select("a", "b"), tried, common_part).join(pairs, ["a", "b"]).filter((NUMERATOR + DENOMINATOR) * F.col("overlap") >= NUMERATOR * F.col("both"))
+            fit = common.written(fit.select(F.col("la").alias("a"), F.col("lb").alias("b")), "fit")
+            if rows_in(fit):
+                groups = _merged(groups, fit)
         common.discard(pairs)
-        if gained:
-            links = fit if links is None else links.unionByName(fit)
-            groups = common.written(components(links), "groups")
-        # No candidate may be the leaders' fault alone: without the full turn, only what has no list of two groups is done.
-        if in_full or (not tried and not now.limit(1).count()):
-            break
-        turn += 1
-    roots = classes.withColumn("root", F.col("uid"))
+    # By class, of which there is one row however many its copies are; written, so that a large group's join can be split.
+    named = classes.withColumn("root", F.col("uid"))
     if groups is not None:
-        roots = classes.join(groups.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("component", "uid"))
-    of = rows.join(roots.select("same", "n", "root"), ["same", "n"], "left").select("doc_id", "n", F.coalesce("root", "uid").alias("root"))
-    smallest = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return of.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        named = classes.join(groups.withColumnRenamed("id", "uid"), "uid", "left").withColumn("root", F.coalesce("component", "uid")).drop("component")
+        smallest = common.written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+        named = common.written(named.drop("doc_id").join(smallest, "root").select("same", "n", "component_id"), "named")
+    else:
+        named = named.select("same", "n", F.col("doc_id").alias("component_id"))
+    blank = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return rows.filter("n > 0").join(named, ["same", "n"]).select("doc_id", "n", "component_id").unionByName(blank).withColumnRenamed("n", "n_shingles")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the row whose id is the group's smallest.
 
     Of rows that share that id, the first by text stays; rows without id stay only where no row of their group has one.
-    Columns stay as they are.
+    Columns stay as they are, whatever their names.
     """
-    spark = docs.sparkSession
-    groups = common.written(join_groups(docs), "groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    n = gone.count()
-    left = docs.join(F.broadcast(gone) if 16 * n <= PAIRS_BROADCAST else gone, "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null")
-    if not repeated.limit(1).count():
-        return left
-    return _with_repeats(spark, docs, left)
+    if repeated.limit(1).count():
+        return _with_repeats(docs)
+    groups = common.written(join_groups(docs), "groups")
+    gone = common.written(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
+    return docs.join(F.broadcast(gone) if 16 * rows_in(gone) <= PAIRS_BROADCAST else gone, "doc_id", "left_anti").select(docs.columns)
 
 
-def _with_repeats(spark, docs: DataFrame, left: DataFrame) -> DataFrame:
+def _with_repeats(docs: DataFrame) -> DataFrame:
     """Where ids repeat or are null, rows can't be told by id: number all rows and join those numbers instead."""
-    from pyspark.sql import Window
-
-    named = common.written(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
-    groups = common.written(join_groups(named.select(F.col("_uid").alias("doc_id"), "text")), "groups").select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("_group"))
-    keys = named.select("_uid", "doc_id", F.xxhash64("text").alias("_text")).join(groups, "_uid")
-    first = keys.withColumn("_k", F.row_number().over(Window.partitionBy("_group").orderBy(F.col("doc_id").asc_nulls_last(), "_text", "_uid"))).filter("_k = 1").select("_uid")
-    return named.join(first, "_uid", "left_semi").drop("_uid")
+    uid = common.free_name("uid", docs.columns)
+    named = common.written(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    groups = common.written(join_groups(named.select(F.col(uid).alias("doc_id"), "text")), "groups").select(F.col("doc_id").alias("uid"), F.col("component_id").alias("root"))
+    keys = named.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text")).join(groups, "uid")
+    # The least row of each group; ids that are null come last.
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text", "uid")).alias("least")).select(F.col("least.uid").alias(uid))
+    return named.join(common.written(first, "first"), uid, "left_semi").select(docs.columns)

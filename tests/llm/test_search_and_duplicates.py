@@ -227,6 +227,32 @@ def test_members_of_lists_whose_leader_links_with_none(spark):
     assert sorted(map(tuple, ngramjoin.join_groups(df).collect()), key=str) == want
 
 
+def test_a_crowd_just_under_the_threshold(spark):
+    """Every pair of the crowd shares shingles of its prefix but none links; each has one link outside, some to each other's."""
+    rng = random.Random(17)
+    shared = [f"s{j}" for j in range(120)]
+    rows = []
+    for i in range(40):
+        own = shared + [f"own{i}_{j}" for j in range(20)]
+        rows.append((2 * i, " ".join(own)))
+        if i % 3:
+            rows.append((2 * i + 1, " ".join([*own[:-1], f"other{rng.randrange(9)}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_join(rows)
+    assert len({c for _, _, c in want}) == 40
+    assert sorted(map(tuple, ngramjoin.join_groups(df, least_fragments=3).collect()), key=str) == want
+
+
+def test_one_of_each_leaves_other_columns(spark):
+    same = "one two three four five six"
+    df = spark.createDataFrame([(5, same, 1, 2, 3, 4), (5, same, 9, 9, 9, 9), (6, "b", 0, 0, 0, 0)], "doc_id long, text string, uid int, _uid int, root int, h int")
+    for rows in (df, df.limit(1)):
+        kept = ngramjoin.one_of_each(rows)
+        assert kept.columns == df.columns
+    assert sorted(tuple(r)[::5] for r in ngramjoin.one_of_each(df).collect()) in ([(5, 4), (6, 0)], [(5, 9), (6, 0)])
+    assert ngramjoin.one_of_each(df.limit(0)).count() == 0
+
+
 def test_shingle_edges(spark):
     same = "one two three four five six"
     rows = [(1, same), (2, same.upper()), (3, "one two"), (4, " one\ttwo\v"), (5, ""), (6, None), (7, " \n"), (8, "É one"), (9, "é one"), (None, same), (1, same), (10, "one two")]
