@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,65 +81,67 @@ def _removals_first(script: list[str]) -> list[str]:
     return out[:-1]
 
 
+class Run(NamedTuple):
+    """Lines removed and lines added at one place, as ranges of both texts' lines."""
+
+    old: range
+    new: range
+
+
+def changed_runs(script: list[str]) -> list[Run]:
+    out, i, j = [], 0, 0
+    for same, ops in groupby(script, lambda op: op == " "):
+        ops = [*ops]
+        old, new = len(ops) - ops.count("+"), len(ops) - ops.count("-")
+        if not same:
+            out.append(Run(range(i, i + old), range(j, j + new)))
+        i, j = i + old, j + new
+    return out
+
+
+def clusters(runs: list[Run], unified: int) -> list[list[Run]]:
+    """Runs with fewer than ``unified`` unchanged lines between them share a hunk."""
+    out: list[list[Run]] = []
+    for run in runs:
+        if out and run.old.start - out[-1][-1].old.stop < unified:
+            out[-1].append(run)
+        else:
+            out.append([run])
+    return out
+
+
+def _hunk(a: list[str], b: list[str], runs: list[Run], unified: int, member: re.Pattern | None) -> str:
+    first, last = runs[0], runs[-1]
+    above = range(max(0, first.old.start - unified), first.old.start)
+    begins = next((n for n in reversed(range(above.start, min(above.stop + 1, len(a)))) if member.search(a[n])), None) if member else None
+    top = above.start if begins is None else begins
+    below = min(unified, len(a) - last.old.stop)
+    lines = [f" {x}" for x in a[top : first.old.start]]
+    for run, until in zip(runs, [*(r.old.start for r in runs[1:]), last.old.stop + below], strict=True):
+        lines += [f"-{a[n]}" for n in run.old] + [f"+{b[n]}" for n in run.new] + [f" {x}" for x in a[run.old.stop : until]]
+    # The header counts up to the line before the closing one; where the text ends in a change, the side written first counts one more.
+    counted = below - (below == unified)
+    n_old, n_new = (r.stop + counted - at for r, at in ((last.old, top), (last.new, top + first.new.start - first.old.start)))
+    if not below:
+        n_old, n_new = n_old + bool(last.new), n_new + (not last.new)
+    if begins is not None:
+        indent = a[top][: len(a[top]) - len(a[top].lstrip())]
+        edited = last.old.stop - (not last.new)
+        below_it = range(edited, min(len(a), edited + unified, top + n_old - 1))
+        end = next((n for n in below_it if a[n].startswith(indent) and a[n].removeprefix(indent)[:1].strip()), None)
+        if end is not None:
+            beyond = top + n_old - 1 - end
+            lines, n_old, n_new = lines[:-beyond], n_old - beyond, n_new - beyond
+    return "".join(f"{x}\n" for x in [f"@@ -{top + 1},{n_old} +{top + first.new.start - first.old.start + 1},{n_new} @@", *lines])
+
+
 def hunks(old: str | None, new: str | None, unified: int = UNIFIED, member: str | None = None) -> list[str]:
     """The text of each hunk, header first, every line ended by a line feed."""
     if unified < 2:
         raise ValueError("unified must be at least 2")
     a, b = split_lines(old), split_lines(new)
     starts = re.compile(member) if member else None
-    out: list[str] = []
-    i = j = same = 0
-    body: list[tuple[str, str]] = []
-    begin: tuple[int, int] | None = None
-    end, last = (-1, -1), -1
-
-    def close() -> None:
-        nonlocal begin, body
-        if begin is None:
-            return
-        (old_from, new_from), (old_to, new_to) = begin, end
-        indent, top = None, max(0, old_from - unified)
-        if starts:
-            for n in range(old_from, top - 1, -1):
-                if n < len(a) and starts.search(a[n]):
-                    indent, top = re.match(r"\s*", a[n])[0], n
-                    break
-        lines = [(" ", x) for x in a[top:old_from]] + body
-        new_top = new_from - (old_from - top)
-        if indent is not None:
-            for n in range(last, min(len(a), last + unified)):
-                rest = a[n][len(indent) :] if a[n].startswith(indent) else ""
-                if rest and not rest[0].isspace() and n < old_to:
-                    del lines[len(lines) - (old_to - n) :]
-                    old_to, new_to = n, new_to - (old_to - n)
-                    break
-        header = f"@@ -{top + 1},{old_to - top + 1} +{new_top + 1},{new_to - new_top + 1} @@"
-        out.append("".join(f"{x}\n" for x in [header, *(p + t for p, t in lines)]))
-        begin, body = None, []
-
-    for op in edit_script(a, b):
-        if op == " ":
-            same += 1
-            closing = begin is not None and same >= unified
-            if begin is not None:
-                body.append((" ", a[i]))
-            if closing:
-                close()
-                end, last = (-1, -1), -1
-            end = (i, j)
-            i, j = i + 1, j + 1
-        else:
-            same, last = 0, i
-            begin = begin or (i, j)
-            end = (i, j)
-            if op == "-":
-                body.append(("-", a[i]))
-                i += 1
-            else:
-                body.append(("+", b[j]))
-                j += 1
-    close()
-    return out
+    return [_hunk(a, b, runs, unified, starts) for runs in clusters(changed_runs(edit_script(a, b)), unified)]
 
 
 def with_hunks(pairs: DataFrame, unified: int = UNIFIED, member: str | None = None) -> DataFrame:
