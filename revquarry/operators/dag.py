@@ -1,17 +1,31 @@
 """The commit graph: logs, ancestors, merge bases and revisions, over ``edges(child, parent, parent_no)``.
 
-Walks are by level: one join per level for all starting points together, each level written before the next, so the
-driver holds no ids. ``parent_no`` counts from 0.
+``parent_no`` counts from 0. A graph of at most GRAPH_EDGES edges, as nearly every repository's is, is numbered once and
+sent to all workers, where each starting point is walked by itself, in memory. Larger ones are walked for all starting
+points together: chains of first parents by pointer doubling, everything else by level, one join a level. Both ways
+give the same rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from ..session import discard, rows_in, written
+from ..session import discard, partitions, rows_in, ship_package, written
+
+#: Edges that are broadcast at most, counted before; about 100 MB of 40-digit ids in a worker.
+GRAPH_EDGES = 1_000_000
+#: Levels after which the visited rows are written together.
+COMPACTED_EVERY = 16
 
 
 def edges_of(commits: DataFrame) -> DataFrame:
@@ -19,6 +33,134 @@ def edges_of(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("oid").alias("child"), F.posexplode("parents").alias("parent_no", "parent")).select("child", "parent", "parent_no")
 
 
+class Graph:
+    """Commits by number, each with its parents in order."""
+
+    def __init__(self, edges: pd.DataFrame):
+        edges = edges.sort_values("parent_no", kind="stable")
+        codes, self.ids = pd.factorize(np.concatenate([edges["child"].to_numpy(), edges["parent"].to_numpy()]))
+        child, parent = codes[: len(edges)], codes[len(edges) :]
+        order = np.argsort(child, kind="stable")
+        self.parents = parent[order]
+        self.starts = np.searchsorted(child[order], np.arange(len(self.ids) + 1))
+
+    def lookup(self) -> Callable[[Iterable], list[int]]:
+        """From ids to numbers; -1 for commits without edges."""
+        index = pd.Index(self.ids)
+        return lambda ids: index.get_indexer(pd.Index([*ids])).tolist() if len(index) else [-1 for _ in ids]
+
+    def levels(self, sources: Iterable[int], closed: set[int] | frozenset = frozenset()) -> Iterator[list[int]]:
+        """Commits by distance, each level in order of discovery; nothing in ``closed`` is entered."""
+        level = [x for x in dict.fromkeys(sources) if x not in closed]
+        seen = {*closed, *level}
+        starts, parents = self.starts, self.parents
+        while level:
+            yield level
+            further = []
+            for x in level:
+                for y in parents[starts[x] : starts[x + 1]].tolist():
+                    if y not in seen:
+                        seen.add(y)
+                        further.append(y)
+            level = further
+
+    def reach(self, sources: Iterable[int]) -> set[int]:
+        return {x for level in self.levels(sources) for x in level}
+
+
+def _graph(edges: DataFrame) -> Broadcast | None:
+    """The graph for all workers, if it is small enough."""
+    spark = edges.sparkSession
+    edges = written(edges.select("child", "parent", "parent_no"), "edges")
+    if rows_in(edges) > GRAPH_EDGES:
+        return None
+    ship_package(spark)
+    return spark.sparkContext.broadcast(Graph(edges.toPandas()))
+
+
+def _by_start(rows: DataFrame, **more: DataFrame) -> DataFrame:
+    """A row per start with its commits in ``oids``; ``more`` adds other lists of commits by start."""
+    out = rows.groupBy("start").agg(F.collect_list("oid").alias("oids"))
+    for name, x in more.items():
+        out = out.join(x.groupBy("start").agg(F.collect_list("oid").alias(name)), "start", "left")
+    return out
+
+
+def _walked(graph: Broadcast, starts: DataFrame, stops: DataFrame | None, stop_only_there: bool, ends: set) -> DataFrame:
+    """``start, oid, level, seq`` (the place in its level), each start in one worker's memory."""
+    bounded = stops is not None
+    lists = _by_start(starts, closed=stops) if bounded else _by_start(starts)
+    types = dict(zip(lists.columns, lists.schema, strict=True))
+    schema = StructType().add("start", types["start"].dataType).add("oid", types["oids"].dataType.elementType).add("level", IntegerType()).add("seq", LongType())
+
+    def run(batches):
+        g = graph.value
+        numbers, ids = g.lookup(), g.ids
+        barred = {*numbers(ends)} - {-1}
+        for batch in batches:
+            kinds = [batch.schema.field("start").type, batch.schema.field("oids").type.value_type, pa.int32(), pa.int64()]
+            rows: list[list] = [[], [], [], []]
+
+            def add(start, oids: list, level: int) -> None:
+                n = len(oids)
+                for column, values in zip(rows, ([start] * n, oids, [level] * n, range(1, n + 1)), strict=True):  # noqa: B023
+                    column.extend(values)
+
+            def taken() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["start", "oid", "level", "seq"])  # noqa: B023
+                for column in rows:  # noqa: B023
+                    column.clear()
+                return out
+
+            closed_lists = batch["closed"].to_pylist() if bounded else [None] * len(batch)
+            for start, oids, closed in zip(batch["start"].to_pylist(), batch["oids"].to_pylist(), closed_lists, strict=True):
+                closed = closed or []
+                around = {*numbers(closed)} - {-1}
+                around = (around if stop_only_there else g.reach(around)) | barred
+                levels = g.levels((k for k in numbers(oids) if k >= 0), around)
+                lone = [x for x, k in zip(oids, numbers(oids), strict=True) if k < 0 and x not in closed and x not in ends]
+                add(start, [*ids[next(levels, [])].tolist(), *lone], 0)
+                for level, members in enumerate(levels, 1):
+                    add(start, ids[members].tolist(), level)
+                    if len(rows[0]) >= 10_000:
+                        yield taken()
+            yield taken()
+
+    return lists.repartition(partitions(lists.sparkSession), "start").mapInArrow(run, schema)
+
+
+def _chains(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`_walked`, along first parents: what is cut ends its chain."""
+    whole = written(first_parent_chain(edges, starts), "chain")
+    lost = whole.join(cut(whole.select("start", "oid")), ["start", "oid"], "left_anti").groupBy("start").agg(F.min("depth").alias("_end"))
+    kept = whole.join(lost, "start", "left").filter("_end is null or depth < _end")
+    return kept.select("start", "oid", F.col("depth").cast("int").alias("level"), F.lit(1).cast("long").alias("seq"))
+
+
+def _by_level(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As :func:`_walked`, one join per level for all starts together; the driver holds no ids."""
+    first = starts.select("start", "oid", F.lit(0).alias("level"), F.lit(1).cast("long").alias("seq"))
+    frontier = written(cut(first), "frontier")
+    whole, parts, level = None, [frontier], 0
+    order = Window.partitionBy("start").orderBy("from_seq", "parent_no")
+    union = lambda: reduce(DataFrame.unionByName, [*([] if whole is None else [whole]), *parts])
+    while rows_in(frontier):
+        level += 1
+        found = frontier.select("start", F.col("oid").alias("child"), F.col("seq").alias("from_seq")).join(edges, "child")
+        found = found.groupBy("start", F.col("parent").alias("oid")).agg(F.min(F.struct("from_seq", "parent_no")).alias("by"))
+        found = cut(found.join(union().select("start", "oid"), ["start", "oid"], "left_anti"))
+        numbered = found.select("start", "oid", F.lit(level).alias("level"), F.col("by.from_seq").alias("from_seq"), F.col("by.parent_no").alias("parent_no")).withColumn("seq", F.row_number().over(order).cast("long"))
+        frontier = written(numbered.select("start", "oid", "level", "seq"), "frontier")
+        parts.append(frontier)
+        if len(parts) > COMPACTED_EVERY:
+            # The frontier's own file stays: the next level still reads it.
+            merged = written(union(), "visited")
+            for x in [*([] if whole is None else [whole]), *parts[:-1]]:
+                discard(x)
+            whole, parts = merged, []
+    return union()
+
+
 def log(edges: DataFrame, starts: DataFrame, first_parent: bool = False, times: DataFrame | None = None, stops: DataFrame | None = None, since=None, until=None, prune: bool = False, topological: bool = False) -> DataFrame:
     """``start, oid, level, seq`` of what each start reaches, itself included, in breadth-first order of discovery.
 
@@ -41,29 +183,21 @@ def log(edges: DataFrame, starts: DataFrame, first_parent: bool = False, times:
         if until is not None:
             bad = bad | (F.col("time") > until)
         outside = times.filter(bad).select("oid")
-    closed = stops
-    if stops is not None and not prune:
-        closed = log(edges, stops.select("start", "oid")).select("start", "oid")
+    starts = starts.select("start", "oid")
+    barred = written(outside.distinct(), "outside") if outside is not None and prune else None
+    graph = _graph(edges) if barred is None or rows_in(barred) <= GRAPH_EDGES else None
+    if graph is not None:
+        ends = {r["oid"] for r in barred.collect()} if barred is not None else set()  # at most GRAPH_EDGES
+        visited = written(_walked(graph, starts, stops, prune, ends), "walked")
+    else:
+        closed = stops if stops is None or prune else log(edges, stops.select("start", "oid"), first_parent=first_parent)
 
-    def cut(x: DataFrame) -> DataFrame:
-        if closed is not None:
-            x = x.join(closed.select("start", "oid").distinct(), ["start", "oid"], "left_anti")
-        if outside is not None and prune:
-            x = x.join(outside, "oid", "left_anti")
-        return x
+        def cut(x: DataFrame) -> DataFrame:
+            if closed is not None:
+                x = x.join(closed.select("start", "oid").distinct(), ["start", "oid"], "left_anti")
+            return x if barred is None else x.join(barred, "oid", "left_anti")
 
-    first = starts.select("start", "oid", F.lit(0).alias("level"), F.lit(1).cast("long").alias("seq"))
-    frontier = written(cut(first), "frontier")
-    visited, level = frontier, 0
-    order = Window.partitionBy("start").orderBy("from_seq", "parent_no")
-    while rows_in(frontier):
-        level += 1
-        found = frontier.select("start", F.col("oid").alias("child"), F.col("seq").alias("from_seq")).join(edges, "child")
-        found = found.groupBy("start", F.col("parent").alias("oid")).agg(F.min(F.struct("from_seq", "parent_no")).alias("by"))
-        found = cut(found.join(visited.select("start", "oid"), ["start", "oid"], "left_anti"))
-        numbered = found.select("start", "oid", F.lit(level).alias("level"), F.col("by.from_seq").alias("from_seq"), F.col("by.parent_no").alias("parent_no")).withColumn("seq", F.row_number().over(order).cast("long"))
-        frontier = written(numbered.select("start", "oid", "level", "seq"), "frontier")
-        visited = visited.unionByName(frontier)
+        visited = (_chains if first_parent else _by_level)(edges, starts, cut)
     if outside is not None and not prune:
         visited = visited.join(outside, "oid", "left_anti")
         whole = Window.partitionBy("start").orderBy(*([F.desc("level"), F.desc("seq")] if topological else ["level", "seq"]))
@@ -103,6 +237,9 @@ def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Criss-cross histories have several; :func:`merge_base` picks one.
     """
+    graph = _graph(edges)
+    if graph is not None:
+        return _common(graph, pairs)
     sides = pairs.select(F.col("a").alias("oid")).unionByName(pairs.select(F.col("b").alias("oid"))).distinct()
     reach = written(ancestors(edges, sides.select(F.col("oid").alias("start"), "oid")), "reach")
     of = lambda c: pairs.select("pair", F.col(c).alias("start")).join(reach, "start").select("pair", "oid")
@@ -112,6 +249,33 @@ def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.join(worse.distinct(), ["pair", "oid"], "left_anti")
 
 
+def _common(graph: Broadcast, pairs: DataFrame) -> DataFrame:
+    """Walk from ``a`` to all it reaches, then from ``b`` only as far as what ``a`` reaches: the best lie on that border."""
+    pairs = pairs.select("pair", "a", "b")
+    schema = StructType().add("pair", pairs.schema["pair"].dataType).add("oid", pairs.schema["a"].dataType)
+
+    def run(batches):
+        g = graph.value
+        numbers, ids = g.lookup(), g.ids
+        for batch in batches:
+            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            out: list = [[], []]
+            for pair, x, y, i, j in zip(batch["pair"].to_pylist(), a, b, numbers(a), numbers(b), strict=True):
+                best = [x] if x == y and x is not None else []
+                if i >= 0 and j >= 0:
+                    of_a = g.reach([i])
+                    of_b = {j} if j in of_a else {k for level in g.levels([j], of_a) for k in level}
+                    border = {j} if j in of_a else {k for n in of_b for k in g.parents[g.starts[n] : g.starts[n + 1]].tolist() if k in of_a}
+                    # Of those on the border, what another one reaches isn't best.
+                    behind = g.reach(k for n in border for k in g.parents[g.starts[n] : g.starts[n + 1]].tolist()) if len(border) > 1 else set()
+                    best = ids[sorted(border - behind)].tolist()
+                out[0] += [pair] * len(best)
+                out[1] += best
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("pair").type), pa.array(out[1], batch.schema.field("a").type)], names=["pair", "oid"])
+
+    return pairs.repartition(partitions(pairs.sparkSession), "pair").mapInArrow(run, schema)
+
+
 def merge_base(edges: DataFrame, pairs: DataFrame, times: DataFrame) -> DataFrame:
     """One per pair: the newest, ties to the smaller id; pairs without a common ancestor give no row."""
     best = merge_bases(edges, pairs).join(times.select("oid", "time"), "oid", "left")

@@ -47,8 +47,11 @@ def json_provider(path_pattern: str, wanted: dict[str, str], **fields: str) -> P
 
 
 def text_provider(path_pattern: str, text: str, first: int = 1024) -> Provider:
-    """Files at matching paths with ``text``, in either case, among the first characters."""
-    return lambda blobs: blobs.filter(F.col("path").rlike(path_pattern) & F.left("text", F.lit(first)).ilike(f"%{text}%")).select("oid")
+    """Files at matching paths with ``text``, in either case, among the first bytes."""
+    # Bytes as characters of one byte each: a cut may fall inside a character.
+    raw = lambda c: F.encode(F.lower(c), "utf-8")
+    head, wanted = F.decode(F.substring(raw(F.col("text")), 1, first), "iso-8859-1"), F.decode(raw(F.lit(text)), "iso-8859-1")
+    return lambda blobs: blobs.filter(F.col("path").rlike(path_pattern) & F.contains(head, wanted)).select("oid")
 
 
 def not_indexed(blobs: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -59,6 +59,15 @@ def diverging(tree_entries: DataFrame, pairs: DataFrame) -> DataFrame:
         level = trees.select("pair", "side", F.col("oid").alias("tree_oid"), F.concat("path", F.lit("/")).alias("prefix"))
 
 
+def entry_at(tree_entries: DataFrame, roots: DataFrame, path: str) -> DataFrame:
+    """``root, mode, kind, oid`` of the entry at one path in each tree of ``roots`` that has it: one join per part of the path."""
+    at = roots.select("root", F.col("root").alias("oid"), F.lit(None).cast("string").alias("mode"), F.lit("tree").alias("kind"))
+    for part in filter(None, path.split("/")):
+        below = tree_entries.filter(F.col("name") == part).select(F.col("tree_oid").alias("_tree"), "mode", "kind", "oid")
+        at = at.select("root", F.col("oid").alias("_tree")).join(below, "_tree").drop("_tree")
+    return at
+
+
 def at_path(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (``root, path``) with the entry's mode, kind and oid; nulls where there is none."""
     return wanted.join(files.select("root", "path", "mode", "kind", "oid"), ["root", "path"], "left")

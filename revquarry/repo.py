@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 import pandas as pd
@@ -28,6 +27,15 @@ OPERATIONS = (
 )
 
 
+#: Tags of tags are followed so far.
+MOST_TAGS = 20
+
+
+def _git_dir(spark: SparkSession, path: str) -> str:
+    path = str(path).rstrip("/")
+    return f"{path}/.git" if repository.exists(spark, f"{path}/.git/HEAD") else path
+
+
 class NotSupported(Exception):
     pass
 
@@ -56,25 +64,23 @@ class Repo:
         self.spark, self.objects, self.references, self.config, self.git_dir, self.head = spark, objects, references, config, git_dir, head
 
     @staticmethod
-    def is_valid(path: str) -> bool:
-        at = os.path.join(path, ".git") if os.path.isdir(os.path.join(path, ".git")) else path
-        return all(os.path.exists(os.path.join(at, x)) for x in ("HEAD", "objects", "refs"))
+    def is_valid(spark: SparkSession, path: str) -> bool:
+        at = _git_dir(spark, path)
+        return all(repository.exists(spark, f"{at}/{x}") for x in ("HEAD", "objects", "refs"))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Repo:
-        """A repository's folder (or the working folder around it); objects are decoded once, into the shared folder."""
-        git_dir = os.path.join(path, ".git") if os.path.isdir(os.path.join(path, ".git")) else path
-        if not cls.is_valid(git_dir):
+        """A repository's folder (or the working folder around it), wherever Spark can read; objects are decoded once, into the shared folder."""
+        if not cls.is_valid(spark, path):
             raise ValueError(f"not a repository: {path}")
+        git_dir = _git_dir(spark, path)
         config = repository.configuration(spark, git_dir)
         values = {".".join(filter(None, (r["section"], r["subsection"], r["key"]))): r["value"] for r in refs.config_values(config).collect()}
-        present = {f for f in ("objects/info/alternates", "objects/info/http-alternates", "reftable") if os.path.exists(os.path.join(git_dir, f))}
-        packs = os.path.join(git_dir, "objects/pack")
-        present |= {f"objects/pack/{f}" for f in (os.listdir(packs) if os.path.isdir(packs) else ())}
+        present = {f for f in ("objects/info/alternates", "objects/info/http-alternates", "reftable") if repository.exists(spark, f"{git_dir}/{f}")}
+        present |= {f"objects/pack/{f}" for f in repository.names(spark, f"{git_dir}/objects/pack")}
         if problems := unsupported(values, present):
             raise NotSupported(("Feature" if len(problems) == 1 else "Features") + " not supported: " + ", ".join(problems))
-        with open(os.path.join(git_dir, "HEAD"), encoding="utf-8") as f:
-            head = f.read().strip()
+        head = repository.text_of(spark, f"{git_dir}/HEAD").strip()
         return cls(spark, written(repository.objects(spark, git_dir).sortWithinPartitions("oid"), "objects"), repository.references(spark, git_dir), config, git_dir, head)
 
     @classmethod
@@ -85,7 +91,7 @@ class Repo:
     @property
     def operation(self) -> str:
         """What is under way: a merge, a rebase and so on, or none."""
-        return next((name for file, name in OPERATIONS if self.git_dir and os.path.exists(os.path.join(self.git_dir, file))), "none")
+        return next((name for file, name in OPERATIONS if self.git_dir and repository.exists(self.spark, f"{self.git_dir}/{file}")), "none")
 
     def head_moved(self, canonical: str) -> str:
         """What HEAD's file holds after moving to a branch; refused while an operation is under way."""
@@ -111,7 +117,8 @@ class Repo:
         def entries(data: pd.Series) -> pd.Series:
             return data.map(lambda x: formats.tree(bytes(x)))
 
-        return self.objects.filter("kind = 'tree'").select(F.col("oid").alias("tree_oid"), F.explode(entries("data")).alias("e")).select("tree_oid", "e.ordinal", "e.mode", "e.kind", "e.name", "e.oid")
+        found = self.objects.filter("kind = 'tree'").select(F.col("oid").alias("tree_oid"), F.explode(entries("data")).alias("e"))
+        return written(found.select("tree_oid", "e.ordinal", "e.mode", "e.kind", "e.name", "e.oid"), "trees")
 
     @cached_property
     def blobs(self) -> DataFrame:
@@ -120,7 +127,7 @@ class Repo:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return dag.edges_of(self.commits)
+        return written(dag.edges_of(self.commits), "edges")
 
     @cached_property
     def commit_times(self) -> DataFrame:
@@ -155,8 +162,7 @@ class Repo:
             if not found:
                 raise KeyError(f"unknown revision: {revision}")
             oid = found["oid"]
-        peeled = self.tags.filter(F.col("oid") == oid).select("target").first()
-        oid = peeled["target"] if peeled else oid
+        oid = self._peeled(oid)
         if not steps:
             return oid
         at = dag.follow(self.edges, self.spark.range(1).select(F.lit(revision).alias("start"), F.lit(oid).alias("oid")), steps).first()
@@ -164,6 +170,15 @@ class Repo:
             raise KeyError(f"unknown revision: {revision}")
         return at["oid"]
 
+    def _peeled(self, oid: str) -> str:
+        """What a tag leads to, through tags of tags; the id itself if it is no tag's."""
+        for _ in range(MOST_TAGS):
+            tag = self.tags.filter(F.col("oid") == oid).select("target").first()
+            if tag is None:
+                return oid
+            oid = tag["target"]
+        raise ValueError(f"more than {MOST_TAGS} tags in a row")
+
     def _start(self, revision: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(revision).alias("start"), F.lit(self.resolve(revision)).alias("oid"))
 
@@ -180,11 +195,11 @@ class Repo:
         """The walk's commits that changed the path; where it is missing, an exact or similar rename is followed, else the history ends."""
         walk = written(walk, "walk")
         trees = self.commits.select("oid", F.col("tree").alias("root"))
-        listed = written(snapshot.flatten(self.tree_entries, walk.join(trees, "oid").select("root").distinct()).select("root", "path", F.col("oid").alias("blob")), "listed")
+        roots = written(walk.join(trees, "oid").select("root").distinct(), "roots")
         out: DataFrame | None = None
         after = 0
         while True:
-            here = walk.filter(F.col("seq") > after).join(trees, "oid").join(listed.filter(F.col("path") == path), "root", "left").select("start", "seq", "oid", "blob")
+            here = walk.filter(F.col("seq") > after).join(trees, "oid").join(snapshot.entry_at(self.tree_entries, roots, path).select("root", F.col("oid").alias("blob")), "root", "left").select("start", "seq", "oid", "blob")
             here = written(here, "segment")
             gap = here.filter("blob is null").agg(F.min("seq")).first()[0]
             part = here.filter("blob is not null" if gap is None else f"blob is not null and seq < {gap}").withColumn("path", F.lit(path))

@@ -26,6 +26,11 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def workspace(spark: SparkSession) -> str:
     """The shared folder, from ``spark.checkpoint.dir``. Only a local master may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

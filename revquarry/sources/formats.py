@@ -43,6 +43,17 @@ def tree(data: bytes) -> list[dict]:
     return out
 
 
+def _inflated(raw: bytes, at: int) -> tuple[bytes, int]:
+    """A compressed stream that begins at ``at``, and where it ends; fed in growing slices, as its length isn't known."""
+    inflate, parts, step, view = zlib.decompressobj(), [], 512, memoryview(raw)
+    while not inflate.eof:
+        if at >= len(raw):
+            raise ValueError("a compressed stream is cut off")
+        parts.append(inflate.decompress(view[at : at + step]))
+        at, step = min(at + step, len(raw)), min(2 * step, 1 << 20)
+    return b"".join(parts), at - len(inflate.unused_data)
+
+
 def pack(raw: bytes) -> Iterator[dict]:
     """Every object of a pack: ``offset, kind, data``, or ``base_oid, delta`` where the base is in no pack entry here.
 
@@ -65,9 +76,7 @@ def pack(raw: bytes) -> Iterator[dict]:
             base = start - back
         elif kind == REF_DELTA:
             base, at = raw[at : at + 20].hex(), at + 20
-        inflate = zlib.decompressobj()
-        data = inflate.decompress(memoryview(raw)[at:]) + inflate.flush()
-        at = len(raw) - len(inflate.unused_data)
+        data, at = _inflated(raw, at)
         entries[start] = (kind, base, data)
     made: dict[int, tuple[str, bytes]] = {}
     by_oid: dict[str, int] = {}

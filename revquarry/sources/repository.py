@@ -16,16 +16,48 @@ from . import formats
 OBJECTS = "oid string, kind string, size long, data binary, storage string, pack string, offset long"
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _at(spark, path)
+    return store.exists(at)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies directly in a folder; nothing where it is missing."""
+    at, store = _at(spark, folder)
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
 def files(spark: SparkSession, folder: str, pattern: str, name: str = "*") -> DataFrame:
-    """``path, content`` of files below ``folder`` whose whole path matches; no rows where the folder is missing."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    """``path, content`` of files below ``folder`` whose name matches the glob ``name`` and whose whole path matches; no rows where the folder is missing.
+
+    Only files of that name are opened: the glob is applied while listing.
+    """
+    if not exists(spark, folder):
         return spark.createDataFrame([], "path string, content binary")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
     return found.filter(F.col("path").rlike(pattern)).select("path", "content")
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of one file, without listing what lies around it; no row where it is missing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    row = one_file(spark, path).first()
+    if row is None:
+        raise FileNotFoundError(path)
+    return bytes(row["content"]).decode()
+
+
 def decoded(raw: DataFrame, decode: Callable[[str, bytes], Iterable[dict]], schema: str) -> DataFrame:
     """Rows that ``decode(path, content)`` makes of each file."""
     ship_package(raw.sparkSession)
@@ -41,10 +73,9 @@ def decoded(raw: DataFrame, decode: Callable[[str, bytes], Iterable[dict]], sche
     return raw.mapInPandas(run, schema)
 
 
-def lines(spark: SparkSession, folder: str, pattern: str, name: str = "*") -> DataFrame:
+def lines(found: DataFrame) -> DataFrame:
     """``path, ordinal, value`` of small text files' lines."""
-    whole = files(spark, folder, pattern, name).select("path", F.decode("content", "utf-8").alias("text"))
-    return whole.select("path", F.posexplode(F.split("text", "\r?\n")).alias("ordinal", "value"))
+    return found.select("path", F.posexplode(F.split(F.decode("content", "utf-8"), "\r?\n")).alias("ordinal", "value"))
 
 
 def loose_objects(spark: SparkSession, git_dir: str) -> DataFrame:
@@ -53,7 +84,7 @@ def loose_objects(spark: SparkSession, git_dir: str) -> DataFrame:
         parts = path.split("/")
         yield {"oid": parts[-2] + parts[-1], "kind": kind, "size": len(data), "data": data, "storage": "loose", "pack": None, "offset": None}
 
-    return decoded(files(spark, f"{git_dir}/objects", "/objects/[0-9a-f]{2}/[0-9a-f]{38}$"), decode, OBJECTS)
+    return decoded(files(spark, f"{git_dir}/objects", "/objects/[0-9a-f]{2}/[0-9a-f]{38}$", "[0-9a-f]" * 38), decode, OBJECTS)
 
 
 def packed_objects(spark: SparkSession, git_dir: str) -> DataFrame:
@@ -95,7 +126,7 @@ def pack_index(spark: SparkSession, git_dir: str) -> DataFrame:
     """``pack, oid, offset, crc``: the multi-pack index first, then the indexes of packs that it doesn't cover."""
     name = lambda path: path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     single = decoded(files(spark, f"{git_dir}/objects/pack", r"\.idx$", "*.idx"), lambda p, raw: ({"pack": name(p)} | x for x in formats.pack_index(raw)), "pack string, oid string, offset long, crc long")
-    multi = decoded(files(spark, f"{git_dir}/objects/pack", "/multi-pack-index$", "multi-pack-index"), lambda p, raw: ({"crc": None} | x for x in formats.multi_pack_index(raw)), "pack string, oid string, offset long, crc long")
+    multi = decoded(one_file(spark, f"{git_dir}/objects/pack/multi-pack-index"), lambda p, raw: ({"crc": None} | x for x in formats.multi_pack_index(raw)), "pack string, oid string, offset long, crc long")
     return multi.unionByName(single.join(multi.select("pack").distinct(), "pack", "left_anti").select("pack", "oid", "offset", "crc"))
 
 
@@ -105,7 +136,7 @@ def commit_graph(spark: SparkSession, git_dir: str) -> DataFrame:
     A chain's files refer to those below by position, so one task reads a chain.
     """
     schema = "oid string, tree string, parents array<string>, commit_time long, generation long"
-    whole = decoded(files(spark, f"{git_dir}/objects/info", "/commit-graph$", "commit-graph"), lambda _, raw: formats.commit_graph(raw), schema)
+    whole = decoded(one_file(spark, f"{git_dir}/objects/info/commit-graph"), lambda _, raw: formats.commit_graph(raw), schema)
     chain = files(spark, f"{git_dir}/objects/info/commit-graphs", "(commit-graph-chain|graph-[0-9a-f]{40}[.]graph)$")
 
     def read_chain(batches):
@@ -123,13 +154,13 @@ def commit_graph(spark: SparkSession, git_dir: str) -> DataFrame:
 
 def staging(spark: SparkSession, git_dir: str) -> DataFrame:
     schema = "ordinal int, path string, oid string, type string, perms int, size long, ctime long, ctime_nanos long, mtime long, mtime_nanos long, stage int"
-    rows = decoded(files(spark, git_dir, "/index$", "index"), lambda _, raw: formats.staging_index(raw), schema)
+    rows = decoded(one_file(spark, f"{git_dir}/index"), lambda _, raw: formats.staging_index(raw), schema)
     return rows.withColumn("ctime", F.timestamp_seconds("ctime")).withColumn("mtime", F.timestamp_seconds("mtime"))
 
 
 def lfs_objects(spark: SparkSession, git_dir: str) -> DataFrame:
     """``sha256, data`` of locally stored large files."""
-    found = files(spark, f"{git_dir}/lfs/objects", "/[0-9a-f]{2}/[0-9a-f]{2}/[0-9a-f]{64}$")
+    found = files(spark, f"{git_dir}/lfs/objects", "/[0-9a-f]{2}/[0-9a-f]{2}/[0-9a-f]{64}$", "[0-9a-f]" * 64)
     return found.select(F.regexp_extract("path", "([0-9a-f]{64})$", 1).alias("sha256"), F.col("content").alias("data"))
 
 
@@ -143,8 +174,8 @@ def resolve_lfs(blobs: DataFrame, lfs: DataFrame, strict: bool = True) -> DataFr
 
 def references(spark: SparkSession, git_dir: str) -> DataFrame:
     """``canonical, oid, storage``; symbolic references are followed to where they lead, loose ones go before packed."""
-    loose = lines(spark, f"{git_dir}/refs", "/refs/").filter("ordinal = 0").select(F.regexp_extract("path", "/(refs/.*)$", 1).alias("canonical"), F.regexp_replace("value", r"[.\s]+$", "").alias("oid"))
-    packed = refs.parse_packed(lines(spark, git_dir, "/packed-refs$", "packed-refs"))
+    loose = lines(files(spark, f"{git_dir}/refs", "/refs/")).filter("ordinal = 0").select(F.regexp_extract("path", "/(refs/.*)$", 1).alias("canonical"), F.regexp_replace("value", r"[.\s]+$", "").alias("oid"))
+    packed = refs.parse_packed(lines(one_file(spark, f"{git_dir}/packed-refs")))
     found = refs.effective(loose, packed)
     target = F.regexp_extract("oid", "^ref: (.+)$", 1)
     known = found.select(F.col("canonical").alias("_to"), F.col("oid").alias("_oid"))
@@ -152,10 +183,10 @@ def references(spark: SparkSession, git_dir: str) -> DataFrame:
 
 
 def configuration(spark: SparkSession, git_dir: str) -> DataFrame:
-    return refs.parse_config(lines(spark, git_dir, "/config$", "config").filter(F.col("path").endswith(git_dir.rsplit("/", 1)[-1] + "/config")).select("ordinal", "value"))
+    return refs.parse_config(lines(one_file(spark, f"{git_dir}/config")).select("ordinal", "value"))
 
 
 def stashes(spark: SparkSession, git_dir: str) -> DataFrame:
     """``ordinal, oid, message`` in the file's order: the oldest first."""
-    found = lines(spark, f"{git_dir}/logs/refs", "/logs/refs/stash$", "stash").filter("value <> ''")
+    found = lines(one_file(spark, f"{git_dir}/logs/refs/stash")).filter("value <> ''")
     return found.select("ordinal", F.split("value", " ")[1].alias("oid"), F.regexp_extract("value", "\t(.*)$", 1).alias("message"))

@@ -279,6 +279,31 @@ def test_index_and_search(spark, tmp_path):
     assert again.count() == 1 and seen2.distinct().count() == seen.distinct().count()
 
 
+def test_text_is_no_pattern(spark):
+    blobs = spark.createDataFrame([("1", "a.c", "x API_key y"), ("2", "b.c", "apiXkey"), ("3", "c.c", "50% off"), ("4", "d.c", "é" * 600 + "api_key"), ("5", "e.c", None)], "oid string, path string, text string")
+    found = lambda text: sorted(r.oid for r in search.text_provider(r"[.]c$", text)(blobs).collect())
+    assert (found("api_key"), found("0% O"), found("50_")) == (["1"], ["3"], [])
+
+
+def test_a_pack_too_large_for_the_reader_leaves_loose_objects_readable(spark, tmp_path):
+    git(tmp_path, "init", "-q")
+    commit(tmp_path, "one", a_txt="1")
+    (tmp_path / ".git/objects/pack/pack-x.pack").write_bytes(b"PACK" + bytes(100_000))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 50_000)
+    try:
+        assert repository.loose_objects(spark, str(tmp_path / ".git")).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_tags_of_tags(spark, tmp_path):
+    git(tmp_path, "init", "-q")
+    first = commit(tmp_path, "one", a_txt="1")
+    git(tmp_path, "tag", "-a", "inner", "-m", "inner")
+    git(tmp_path, "tag", "-a", "outer", "-m", "outer", "inner")
+    assert Repo.open(spark, str(tmp_path)).resolve("outer") == first
+
+
 def test_lfs(spark, tmp_path):
     sha = "1234567890abcdef" * 4
     at = tmp_path / "lfs/objects/12/34" / sha
@@ -301,7 +326,7 @@ def test_detached_head_and_operations(spark, tmp_path):
     (tmp_path / ".git/MERGE_HEAD").write_text(first)
     repo = Repo.open(spark, str(tmp_path))
     assert repo.resolve("HEAD") == first and repo.operation == "merge"
-    assert not Repo.is_valid(str(tmp_path / "nowhere"))
+    assert not Repo.is_valid(spark, str(tmp_path / "nowhere"))
     with pytest.raises(ValueError, match="during a merge"):
         repo.head_moved("refs/heads/main")
     (tmp_path / ".git/MERGE_HEAD").unlink()
