@@ -1,9 +1,11 @@
 """Toxic passages by maximum-scoring segments.
 
-Every word has a log-odds score, toxic against clean, with a Dirichlet prior of the words' overall frequencies; words
-of no significant odds score a small negative constant. One linear scan finds all maximal-scoring segments of a text,
-and extreme-value statistics say how many segments of that score clean text of that length would hold by chance. The
-significant ones are the text's toxic passages; their evidence, summed, is turned into a probability.
+Every word has a log-odds score, toxic against clean, with a Dirichlet prior of the words' overall frequencies. Of a
+word's odds the bound nearest to zero counts that holds for all words of the vocabulary at once, so a word with little
+behind it scores next to nothing; a constant drift makes every word of ordinary text cost a little. One linear scan
+finds all maximal-scoring segments of a text, and extreme-value statistics say how many segments of that score clean
+text of that length would hold by chance. The significant ones are the text's toxic passages; their evidence, summed,
+is turned into a probability.
 
 A text counts for a word once, and texts count only once for each distinct context (the words beside the word where it
 first comes), so neither repetition in a text nor copies of a labelled text count again. A text is its words only: language, source and key are no inputs.
@@ -15,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +27,26 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that the classifier is fitted on at most (those of the smallest key hash), words that it keeps at most.
-MAX_LABELLED, MAX_WORDS = 20_000, 50_000
-#: Weight of the Dirichlet prior in words; score of a word without significant odds; surprise from which on a passage counts (one in twenty by chance).
-PRIOR_WORDS, OTHER_SCORE, LEAST_SURPRISE = 500.0, -0.5, math.log(20)
+#: Labelled rows that the classifier is fitted on at most (those of the smallest key hash). The model holds words of these only.
+MAX_LABELLED = 20_000
+#: Weight of the Dirichlet prior in words; what every word costs; surprise from which on a passage counts (one in twenty by chance).
+PRIOR_WORDS, DRIFT, LEAST_SURPRISE = 500.0, -0.5, math.log(20)
 #: Evidence beyond which the logistic fit tells no more degrees apart: the weight is that of deciding, not of long lists.
 ENOUGH = 8.0
-#: Share of false words that the choice of words accepts, over all words together; log-odds that a word must have either way.
-FALSE_WORDS, LEAST_ODDS = 0.05, 1.5
+#: How often any word of the vocabulary at all may have true odds nearer to zero than its bound.
+FALSE_WORDS = 0.05
 
 WORD = re.compile(r"\w+")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, lowered one by one: the n-th is the n-th match of WORD in the text itself."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
 @dataclass
 class Model:
-    """Word scores; ``decay`` and ``rate`` of the expected segments ``rate * words * exp(-decay * score)``; logistic weights."""
+    """Bounds of the words' log-odds (0 for all others); ``decay`` and ``rate`` of the expected segments ``rate * words * exp(-decay * score)``; logistic weights."""
 
     scores: dict[str, float] = field(default_factory=dict)
     decay: float = 1.0
@@ -47,12 +55,12 @@ class Model:
     weight: float = 1.0
 
     def __post_init__(self):
-        self.toxic = {w for w, s in self.scores.items() if s > 0}
+        self.toxic = {w for w, s in self.scores.items() if s + DRIFT > 0}
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and all maximal segments as (first word, word after, score)."""
-        words = WORD.findall(text.lower())
-        return len(words), [] if self.toxic.isdisjoint(words) else maximal_segments([self.scores.get(w, OTHER_SCORE) for w in words])
+        words = words_of(text)
+        return len(words), [] if self.toxic.isdisjoint(words) else maximal_segments([self.scores.get(w, 0.0) + DRIFT for w in words])
 
     def surprise(self, words: int, score: float) -> float:
         """Minus the logarithm of how many segments of this score clean text of this length holds by chance."""
@@ -96,10 +104,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, 4096):
         seen = set()
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            words = WORD.findall((text or "").lower())
+            words = words_of(text or "")
             first = {w: i for i, w in reversed([*enumerate(words)])}
             for w, i in first.items():
-                around = "\0".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2])
+                around = "".join(words[max(0, i - 1) : i]) + "\0" + "".join(words[i + 1 : i + 2])
                 seen.add((w, xxhash.xxh3_64_intdigest(around) - 2**63, toxic))
         cols = list(zip(*seen, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32()), strict=True)], names=["word", "context", "toxic"])
@@ -123,27 +131,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not n_t or not n_c:
         common.discard(by_word)
         return Model()
-    # How surprising the split of a word's contexts is, as a likelihood ratio against the overall split.
+    # How surprising the split of a word's contexts is against the overall split, as a likelihood ratio; its root says in
+    # how many standard errors the odds are. The bound lies as many of them nearer to zero as all words together ask for.
     n, part = F.col("t") + F.col("c"), n_t / (n_t + n_c)
     term = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(F.lit(0.0))
-    surprise = term(F.col("t"), part) + term(F.col("c"), 1 - part)
-    chosen = by_word.withColumn("surprise", surprise).filter(F.col("surprise") > math.log(max(vocabulary, 1) / FALSE_WORDS)).orderBy(F.col("surprise").desc(), "word").limit(MAX_WORDS)
+    errors = F.sqrt(F.greatest(F.lit(0.0), 2 * (term(F.col("t"), part) + term(F.col("c"), 1 - part))))
+    prior = n * (PRIOR_WORDS / (n_t + n_c))
+    p_t, p_c = (F.col("t") + prior) / (n_t + PRIOR_WORDS), (F.col("c") + prior) / (n_c + PRIOR_WORDS)
+    odds = F.log(p_t / (1 - p_t)) - F.log(p_c / (1 - p_c))
+    least = NormalDist().inv_cdf(1 - FALSE_WORDS / (2 * vocabulary))
+    bound = by_word.withColumn("errors", errors).filter(F.col("errors") > least).select("word", (odds * (1 - least / F.col("errors"))).alias("score"), p_c.alias("share"))
+    # Words of at most max_labelled rows.
     scores, clean_share = {}, {}
-    for r in chosen.collect():
-        prior = PRIOR_WORDS * (r["t"] + r["c"]) / (n_t + n_c)
-        p_t, p_c = (r["t"] + prior) / (n_t + PRIOR_WORDS), (r["c"] + prior) / (n_c + PRIOR_WORDS)
-        odds = math.log(p_t / (1 - p_t)) - math.log(p_c / (1 - p_c))
-        if abs(odds) >= LEAST_ODDS:
-            scores[r["word"]], clean_share[r["word"]] = odds, p_c
+    for r in bound.collect():
+        scores[r["word"]], clean_share[r["word"]] = r["score"], r["share"]
     common.discard(by_word)
     return _calibrated(Model(scores), rows.filter(remainder() == 4), clean_share)
 
 
 def _decay(scores: dict[str, float], share: dict[str, float]) -> float:
     """The positive root of E[exp(decay * score)] = 1 for words of clean text."""
-    s, p = np.array(list(scores.values())), np.array([share[w] for w in scores])
+    s, p = np.array(list(scores.values())) + DRIFT, np.array([share[w] for w in scores])
     rest = max(0.0, 1 - p.sum())
-    moment = lambda x: float(p @ np.exp(x * s)) + rest * math.exp(x * OTHER_SCORE) - 1
+    moment = lambda x: float(p @ np.exp(x * s)) + rest * math.exp(x * DRIFT) - 1
     low, high = 1e-3, 1e-3
     while moment(high) < 0 and high < 8:
         high *= 2
@@ -167,7 +177,7 @@ def _calibrated(model: Model, rows: DataFrame, share: dict[str, float]) -> Model
 
     # At most a fifth of max_labelled rows of a few numbers each.
     seen = rows.select("toxic", "text").mapInArrow(run, "toxic int, n long, segments array<double>").collect()
-    least = min(model.scores[w] for w in model.toxic)
+    least = min(model.scores[w] for w in model.toxic) + DRIFT
     over = sum(s >= least for r in seen if r["toxic"] <= 0 for s in r["segments"])
     words = sum(r["n"] for r in seen if r["toxic"] <= 0)
     decay = _decay(model.scores, share)
@@ -198,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     common.ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_WORDS words
+    shared = spark.sparkContext.broadcast(model)  # words of at most MAX_LABELLED rows
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
 
     def run(batches):
@@ -212,8 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = [(a, b, s, math.exp(-x)) for a, b, s in found if (x := model.surprise(n, s)) > LEAST_SURPRISE]
                 if found:
                     at = [m.span() for m in WORD.finditer(text)]
-                    last = len(at) - 1  # lower-casing may make a word of nothing; offsets stay inside the text
-                    found = [{"start": at[min(a, last)][0], "end": at[min(b - 1, last)][1], "score": s, "expected": e} for a, b, s, e in found]
+                    found = [{"start": at[a][0], "end": at[b - 1][1], "score": s, "expected": e} for a, b, s, e in found]
                 passages.append(found)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, pa.list_(passage))], names=["doc_id", "score", "predicted", "passages"])
 
@@ -224,7 +233,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose text the model predicts to be toxic; rows with null texts stay, unchanged."""
     spark = docs.sparkSession
     common.ship_package(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_WORDS words
+    shared = spark.sparkContext.broadcast(model)  # words of at most MAX_LABELLED rows
     at = docs.columns.index("text")
 
     def run(batches):

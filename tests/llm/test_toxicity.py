@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import zlib
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +82,83 @@ def test_only_words_count(fitted):
     b = a.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("other")).withColumn("doc_id", F.col("doc_id") + 7)
     x = {r.doc_id: r.score for r in T.score(a, model).collect()}
     assert all(x[r.doc_id - 7] == r.score for r in T.score(b, model).collect())
+
+
+def test_passages_lie_where_their_words_are(spark, fitted):
+    """Lowering a letter may make two characters, one of them no word's: offsets are those of the text itself."""
+    _, _, model = fitted
+    text = "\u0130\u0130 \u0130x and of " * 30 + "you pathetic idiot, worthless scum" + " in the and" * 30
+    docs = spark.createDataFrame([(1, text), (2, "the and of " * 100_000 + text)], "doc_id long, text string")
+    for r, whole in zip(T.score(docs, model).orderBy("doc_id").collect(), (text, "the and of " * 100_000 + text), strict=True):
+        assert [whole[p.start : p.end] for p in r.passages] == ["pathetic idiot, worthless scum"]
+
+
+def brute_model(rows, least_of=T.FALSE_WORDS):
+    """Word counts, bounds and extreme-value statistics by plain loops over (remainder, text, toxic)."""
+    contexts, held = set(), []
+    for rest, text, toxic in rows:
+        words = [m.lower() for m in re.findall(r"\w+", text)]
+        if rest == 4:
+            held.append((words, toxic))
+        if rest in (1, 2, 3):
+            for w in set(words):
+                i = words.index(w)
+                contexts.add((w, tuple(words[max(0, i - 1) : i]), tuple(words[i + 1 : i + 2]), toxic))
+    counts = {}
+    for w, _, _, toxic in contexts:
+        counts.setdefault(w, [0, 0])[toxic] += 1
+    n_c, n_t = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    least = NormalDist().inv_cdf(1 - least_of / 2 / len(counts))
+    scores, share = {}, {}
+    for w, (c, t) in counts.items():
+        q = n_t / (n_t + n_c)
+        ratio = sum(k * math.log(k / ((t + c) * p)) for k, p in ((t, q), (c, 1 - q)) if k)
+        errors = math.sqrt(max(0, 2 * ratio))
+        prior = T.PRIOR_WORDS * (t + c) / (n_t + n_c)
+        p, r = (t + prior) / (n_t + T.PRIOR_WORDS), (c + prior) / (n_c + T.PRIOR_WORDS)
+        if errors > least:
+            scores[w], share[w] = (math.log(p / (1 - p)) - math.log(r / (1 - r))) * (1 - least / errors), r
+    return scores, share, held
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(31)
+    calm, foul = [f"w{i}" for i in range(60)], ["grub", "scab", "louse"]
+    rows = []
+    for i in range(900):
+        words = rng.choices(calm, k=rng.randint(5, 40))
+        toxic = int(rng.random() < 0.2)
+        if toxic:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(foul), rng.choice(calm), rng.choice(foul)]
+        rows.append((i, " ".join(words), toxic))
+    rest = {i: zlib.crc32(str(i).encode()) % 5 for i, _, _ in rows}
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    scores, share, held = brute_model([(rest[i], text, toxic) for i, text, toxic in rows])
+    assert set(scores) == set(model.scores) >= set(foul) and all(abs(model.scores[w] - x) < 1e-9 for w, x in scores.items())
+
+    def segments(words):
+        return [s for _, _, s in brute_segments([scores.get(w, 0) + T.DRIFT for w in words])]
+
+    # The decay solves E[exp(decay * score)] = 1 over clean words; the rate is that of clean text's segments.
+    moment = sum(share[w] * math.exp(model.decay * (s + T.DRIFT)) for w, s in scores.items()) + (1 - sum(share.values())) * math.exp(model.decay * T.DRIFT)
+    assert abs(moment - 1) < 1e-6
+    least = min(s for s in scores.values() if s + T.DRIFT > 0) + T.DRIFT
+    clean = [w for w, toxic in held if not toxic]
+    rate = (sum(s >= least for w in clean for s in segments(w)) + 0.5) / sum(map(len, clean)) * math.exp(model.decay * least)
+    assert abs(model.rate / rate - 1) < 1e-9
+
+    def evidence(words):
+        surprise = [model.decay * s - math.log(rate * max(1, len(words))) for s in segments(words)]
+        return sum(x for x in surprise if x > T.LEAST_SURPRISE)
+
+    # The weights are where the penalised likelihood of the calibration rows is flat.
+    x, y = [min(evidence(w), T.ENOUGH) for w, _ in held], [t for _, t in held]
+    p = [1 / (1 + math.exp(-(model.bias + model.weight * e))) for e in x]
+    assert abs(sum(b - a for a, b in zip(p, y, strict=True)) - 1e-3 * model.bias) < 1e-6
+    assert abs(sum((b - a) * e for a, b, e in zip(p, y, x, strict=True)) - 1e-2 * model.weight) < 1e-6
+    got = {r.doc_id: (r.score, r.predicted) for r in T.score(docs, model).collect()}
+    for i, text, _ in rows:
+        want = 1 / (1 + math.exp(-(model.bias + model.weight * evidence(text.split()))))
+        assert abs(got[i][0] - want) < 1e-9 and got[i][1] == int(got[i][0] >= 0.5)
