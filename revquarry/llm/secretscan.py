@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index.
 
-Each rule's regular expression is turned into a Boolean query over the trigrams that any match must hold (AND of what
-must follow each other, OR over alternatives). Every block of documents gets an inverted index, trigram to documents,
-of the trigrams that some rule asks for; a rule's query intersects and unites its postings, and only the documents
-left are searched with the regular expression. Rules whose matches need hold no trigram search every document.
+Each rule's regular expression is turned into a Boolean query over the trigrams (of UTF-8 bytes, A-Z lowered) that any
+match must hold: AND of what must follow each other, OR over alternatives. One pass over a block of texts builds its
+inverted index, trigram to documents, for all trigrams that some rule asks for. A rule's query intersects and unites
+the postings, and only the documents left are searched with the expression. Rules whose matches need hold no trigram
+search every document.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +47,29 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
-# The contract's rules.
+# The contract's rules. Runs of 24 and more are the whole runs that are long enough.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, least=6, ignore_case=True),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
-    Rule("hex", r"[0-9a-f]+", least=24),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 
+# Public formats of keys and tokens.
+MORE_RULES = (
+    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]{0,16384}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"),
+    Rule("code_host", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{16,}=*", ignore_case=True),
+    Rule("login_in_url", r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@\x22'<>]{1,64}:[^\s:/@\x22'<>]{3,64}@", ignore_case=True),
+)
+RULES = BASE_RULES + MORE_RULES
+
+#: Bytes of text whose trigrams are taken at once.
+BYTES_TOGETHER = 4_000_000
+
 
 @dataclass(frozen=True)
 class All:
@@ -89,13 +105,19 @@ def either(queries: Iterable):
     return parts[0] if len(parts) == 1 else Any(parts)
 
 
-def grams(text: str) -> list[str]:
-    return [text[i : i + 3] for i in range(len(text) - 2)]
+def lowered(text: str) -> str:
+    """A-Z lowered, as expressions that ignore case do here; nothing else."""
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def grams(text: str) -> list[bytes]:
+    raw = text.encode()
+    return [raw[i : i + 3] for i in range(len(raw) - 2)]
 
 
 def of_strings(strings: set[str]):
     """One of the strings is there, as far as trigrams can say."""
-    return either(both(All(), All(tuple(grams(s)))) if len(s) > 3 else s if len(s) == 3 else All() for s in sorted(strings))
+    return either(both(All(), All(tuple(grams(s)))) for s in sorted(strings))
 
 
 def joined(items: list[Known]) -> Known:
@@ -116,9 +138,9 @@ def known(parsed) -> Known:
     items = []
     for op, arg in parsed:
         if op is C.LITERAL:
-            items.append(Known({chr(arg).lower()}))
+            items.append(Known({lowered(chr(arg))}))
         elif op is C.IN and all(k is C.LITERAL for k, _ in arg) and len(arg) <= 8:
-            items.append(Known({chr(v).lower() for _, v in arg}))
+            items.append(Known({lowered(chr(v)) for _, v in arg}))
         elif op is C.SUBPATTERN:
             items.append(known(arg[-1]))
         elif op is C.BRANCH:
@@ -149,13 +171,13 @@ def trigram_query(rule: Rule):
     return both(found.query, of_strings(found.exact)) if found.exact is not None else found.query
 
 
-def trigrams(query) -> set[str]:
-    return {query} if isinstance(query, str) else set().union(*map(trigrams, query.parts))
+def trigrams(query) -> set[bytes]:
+    return {query} if isinstance(query, bytes) else set().union(*map(trigrams, query.parts))
 
 
-def matching(query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
+def matching(query, postings: dict[bytes, np.ndarray], n: int) -> np.ndarray:
     """Which of the block's n documents satisfy the query, from sorted postings."""
-    if isinstance(query, str):
+    if isinstance(query, bytes):
         return postings[query]
     if isinstance(query, All):
         out = np.arange(n)
@@ -165,26 +187,37 @@ def matching(query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
     return np.unique(np.concatenate([matching(p, postings, n) for p in query.parts]))
 
 
-def block_index(texts: list[str], wanted: Iterable[str]) -> dict[str, np.ndarray]:
-    lower = [t.lower() for t in texts]
-    return {g: np.array([i for i, t in enumerate(lower) if g in t], dtype=np.int64) for g in wanted}
-
-
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """The index as a table, ``block, trigram, doc_ids``, to be kept and asked again; blocks are Arrow batches."""
-    common.ship_package(docs.sparkSession)
-    wanted = sorted(set().union(*(trigrams(trigram_query(r)) for r in rules)))
-
-    def run(batches):
-        block = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids = batch["doc_id"]
-            index = block_index(batch["text"].to_pylist(), wanted)
-            lists = [ids.take(pa.array(index[g])).to_pylist() for g in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(wanted), pa.int64()), pa.array(wanted, pa.string()), pa.array(lists, pa.list_(pa.int64()))], names=["block", "trigram", "doc_ids"])
-            block += 1
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "block long, trigram string, doc_ids array<long>")
+class BlockIndex:
+    """Builds blocks' postings of the wanted trigrams, in one pass over the texts' bytes."""
+
+    def __init__(self, wanted: set[bytes]):
+        self.wanted = sorted(wanted)
+        self.codes = np.array([int.from_bytes(g, "big") for g in self.wanted], dtype=np.int64)
+        self.begins = np.zeros(1 << 16, dtype=bool)  # by a trigram's first two bytes
+        self.begins[self.codes >> 8] = True
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+
+    def postings(self, texts: pa.Array) -> dict[bytes, np.ndarray]:
+        n = len(texts)
+        whole = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64, count=n + 1, offset=8 * whole.offset) if n else np.zeros(1, dtype=np.int64)
+        found = [np.empty(0, dtype=np.int64)]
+        if offsets[-1] > offsets[0]:
+            raw = np.frombuffer(whole.buffers()[2], dtype=np.uint8)
+            for at in range(int(offsets[0]), int(offsets[-1]) - 2, BYTES_TOGETHER):
+                b = self.lower[raw[at : min(at + BYTES_TOGETHER + 2, int(offsets[-1]))]].astype(np.uint16)
+                places = np.flatnonzero(self.begins[(b[:-2] << 8) | b[1:-1]])
+                code = (b[places].astype(np.int64) << 16) | (b[places + 1].astype(np.int64) << 8) | b[places + 2]
+                which = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = self.codes[which] == code
+                which, places = which[hit], places[hit] + at
+                of = np.searchsorted(offsets, places, side="right") - 1
+                inside = places + 2 < offsets[of + 1]  # not across two texts
+                found.append(np.unique(which[inside] * n + of[inside]))
+        pairs = np.unique(np.concatenate(found))
+        cut = np.searchsorted(pairs, np.arange(len(self.wanted) + 1) * n)
+        return {g: pairs[cut[k] : cut[k + 1]] - k * n for k, g in enumerate(self.wanted)}
 
 
 class Scanner:
@@ -192,21 +225,23 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, r.compiled(), trigram_query(r)) for r in rules]
-        self.wanted = sorted(set().union(*(trigrams(q) for _, _, q in self.rules)))
-
-    def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Spans of each text as (start, rule number, end), in that order."""
-        index = block_index(texts, self.wanted)
-        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for k, (rule, pattern, query) in enumerate(self.rules):
-            for i in matching(query, index, len(texts)):
-                found[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        self.index = BlockIndex(set().union(*(trigrams(q) for _, _, q in self.rules)))
+
+    def scan(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """Spans of each text (a string array without nulls) as (start, rule number, end), in that order."""
+        postings = self.index.postings(texts) if self.index.wanted else {}
+        wanted = [matching(query, postings, len(texts)).tolist() for _, _, query in self.rules]
+        read = {i: texts[i].as_py() for i in sorted(set().union(*wanted))}
+        found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
+        for k, ((rule, pattern, _), these) in enumerate(zip(self.rules, wanted, strict=True)):
+            for i in these:
+                found[i] += [(m.start(), k, m.end()) for m in pattern.finditer(read[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
         for spans in found:
             spans.sort()
         return found
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, secrets``: per document all spans as ``array<struct<kind,start,end>>``, by start, then by rule.
 
     Per rule the leftmost non-overlapping matches, offsets in code points, end exclusive. A null text counts as empty
@@ -219,7 +254,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     def run(batches):
         scanner = Scanner(rules)
         for batch in common.slices(batches):
-            found = scanner.scan(batch["text"].to_pylist())
+            found = scanner.scan(batch["text"])
             rows = [[{"kind": kinds[k], "start": a, "end": b} for a, k, b in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(span))], names=["doc_id", "secrets"])
 
@@ -234,7 +269,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its ``text`` replaced by ``mark`` (overlapping spans by one), and ``n_chars`` renewed.
 
     All rows and all other columns stay as they are; null texts stay null.
@@ -247,9 +282,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, mark: str = "[
     def run(batches):
         scanner = Scanner(rules)
         for batch in common.slices(batches):
-            texts = batch.column(at).to_pylist()
-            out = []
-            for text, spans in zip(texts, scanner.scan([t or "" for t in texts]), strict=True):
+            texts, out = batch.column(at), []
+            for given, spans in zip(texts, scanner.scan(texts.fill_null("")), strict=True):
+                text = given.as_py()
                 if spans:
                     parts, done = [], 0
                     for start, _, end in spans:
