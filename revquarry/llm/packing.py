@@ -1,18 +1,20 @@
 """Packing documents into sequences by a grouping genetic algorithm on islands.
 
 The genes are whole sequences (bins). Crossover injects well-filled bins of one parent into the other, drops the bins
-that held any of their pieces, and puts the displaced pieces back by best fit, longest first; mutation empties the
-poorest bins likewise. Pieces are dealt at random into blocks of bounded size; each block evolves on several islands,
-whose elites migrate to the next island between epochs, and the best island's bins stand. Bins that a block could not
-fill go to the next round, where the blocks are dealt anew, until one block holds all that is left or rounds with the
-largest blocks allowed fill hardly any more; then every block's bins stand.
+that held any of their pieces and puts the displaced pieces back: first a displaced piece takes the place of a shorter
+one wherever it fills a bin better, then the rest goes in by best fit, longest first. Mutation empties the poorest bins
+and some others likewise. Fewer bins are fitter, and of as many those with more in full bins. Pieces are dealt at
+random into blocks of bounded size; each block evolves on several islands, whose elites migrate to the next island
+between epochs, and the best island's bins stand. Bins that a block could not fill go to the next round, where the
+blocks are dealt anew, until one block holds all that is left. Where less than half finds a full bin, blocks grow up to
+a bound; where that does not help either, no dealing would, and every block's bins stand.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,7 +31,9 @@ BLOCK_PIECES = 4096
 MOST_GROWTH = 4
 #: Bits of a bin's number in its block within a sequence's id; a block has far fewer bins.
 BIN_BITS = 22
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 5
+#: Part of the pieces that a round must settle, else blocks grow.
+LEAST_SETTLED = 0.5
 #: A bin at least so full is kept; the pieces of others are packed again with those of other blocks.
 KEPT_FILL = 0.999
 
@@ -85,8 +89,32 @@ class Packing:
                     insort(free, (self.capacity - n, len(bins) - 1))
         return bins
 
-    def fitness(self, bins: list[list[int]]) -> float:
-        return sum((self.fill(b) / self.capacity) ** 2 for b in bins) / len(bins)
+    def put_back(self, bins: list[list[int]], displaced: list[int]) -> list[list[int]]:
+        """Displaced pieces replace shorter ones where that fills a bin better, longest first; what is left goes in by best fit."""
+        lengths = self.lengths
+        pool = sorted((lengths[i], i) for i in displaced)
+        for members in bins:
+            room = self.capacity - self.fill(members)
+            if not room or not pool:
+                continue
+            for at, i in enumerate(members):
+                n = lengths[i]
+                k = bisect_right(pool, (n + room, len(lengths))) - 1
+                if k >= 0 and pool[k][0] > n:
+                    longer, j = pool.pop(k)
+                    members[at], room = j, room - (longer - n)
+                    insort(pool, (n, i))
+                    if not room:
+                        break
+        return self.best_fit(bins, [i for _, i in reversed(pool)])
+
+    def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
+        """Fewer bins, then more in full ones."""
+        return -len(bins), sum((self.fill(b) / self.capacity) ** 2 for b in bins)
+
+    def perfect(self, bins: list[list[int]]) -> bool:
+        """No packing has fewer bins, and all but one are full."""
+        return len(bins) == self.least and sum(self.fill(b) < self.capacity for b in bins) <= 1
 
     def individual(self, shaken: float) -> list[list[int]]:
         """Best fit over the lengths in about descending order."""
@@ -96,38 +124,40 @@ class Packing:
         return self.best_fit([], list(order))
 
     def crossover(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+        """``a`` with some of the well-filled bins of ``b``."""
         ranked = sorted(b, key=self.fill, reverse=True)
         good = ranked[: max(1, len(ranked) // 2)]
         injected = self.rng.sample(good, max(1, len(good) // 2))
         taken = {i for x in injected for i in x}
         kept = [x for x in a if taken.isdisjoint(x)]
-        displaced = sorted(i for x in a if not taken.isdisjoint(x) for i in x if i not in taken)
-        return self.best_fit([list(x) for x in (*injected, *kept)], displaced)
+        displaced = [i for x in a if not taken.isdisjoint(x) for i in x if i not in taken]
+        return self.put_back([list(x) for x in (*injected, *kept)], displaced)
 
     def mutation(self, bins: list[list[int]]) -> list[list[int]]:
         ranked = sorted(bins, key=self.fill, reverse=True)
-        n = max(2, len(ranked) // 20)
-        emptied = ranked[-n:] + [ranked.pop(self.rng.randrange(len(ranked) - n)) for _ in range(min(2, len(ranked) - n))]
-        return self.best_fit([list(x) for x in ranked[:-n]], sorted(i for x in emptied for i in x))
+        n = min(len(ranked), max(2, len(ranked) // 20))
+        rest = ranked[:-n]
+        emptied = ranked[-n:] + [rest.pop(self.rng.randrange(len(rest))) for _ in range(min(n, len(rest)))]
+        return self.put_back([list(x) for x in rest], [i for x in emptied for i in x])
 
     def evolve(self, seeds: list[list[list[int]]]) -> list[list[int]]:
-        """The elite after some generations, at once when no packing can have fewer bins."""
+        """The fittest after some generations, earlier only where nothing can be fitter."""
         people = [*seeds]
         while len(people) < POPULATION:
             people.append(self.individual(0.0 if not people else 0.2 * len(people)))
-            if len(people[-1]) == self.least:
-                break
         score = {id(x): self.fitness(x) for x in people}
         for _ in range(GENERATIONS):
-            people.sort(key=lambda x: (len(x), -score[id(x)]))
-            if len(people[0]) <= self.least or len(people) < 2:
+            people.sort(key=lambda x: score[id(x)], reverse=True)
+            if self.perfect(people[0]):
                 break
-            for k in range(len(people) // 2):
-                a, b = self.rng.sample(people, 2)
-                child = self.mutation(self.crossover(a, b))
-                people[-1 - k] = child
-                score[id(child)] = self.fitness(child)
-        return min(people, key=lambda x: (len(x), -score[id(x)]))
+            # Half of the people are children; each has the fitter of two for its body, and the other's good bins.
+            children = []
+            for _ in range(len(people) // 2):
+                a, b = sorted(self.rng.sample(range(len(people)), 2))
+                children.append(self.mutation(self.crossover(people[a], people[b])))
+            people[-len(children) :] = children
+            score = {id(x): score.get(id(x)) or self.fitness(x) for x in people}
+        return max(people, key=self.fitness)
 
 
 def _epoch(rows: DataFrame, capacity: int, level: int, epoch: int) -> DataFrame:
@@ -135,7 +165,7 @@ def _epoch(rows: DataFrame, capacity: int, level: int, epoch: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            blocks, islands, found = batch["block"].to_pylist(), batch["island"].to_pylist(), []
+            blocks, islands, found, fitness = batch["block"].to_pylist(), batch["island"].to_pylist(), [], []
             for block, island, lengths, *bins in zip(blocks, islands, batch["lengths"].to_pylist(), batch["own"].to_pylist(), batch["migrant"].to_pylist(), strict=True):
                 problem = Packing(lengths, capacity, random.Random(f"{level} {block} {island} {epoch}"))
                 seeds = []
@@ -151,9 +181,10 @@ def _epoch(rows: DataFrame, capacity: int, level: int, epoch: int) -> DataFrame:
                     for i in members:
                         of[i] = k
                 found.append(of)
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["island"], batch["pids"], batch["lengths"], pa.array(found, pa.list_(pa.int32()))], names=["block", "island", "pids", "lengths", "own"])
+                fitness.append([float(x) for x in problem.fitness(best)])
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["island"], batch["pids"], batch["lengths"], pa.array(found, pa.list_(pa.int32())), pa.array(fitness, pa.list_(pa.float64()))], names=["block", "island", "pids", "lengths", "own", "fitness"])
 
-    return rows.mapInArrow(run, "block long, island int, pids array<long>, lengths array<long>, own array<int>")
+    return rows.mapInArrow(run, "block long, island int, pids array<long>, lengths array<long>, own array<int>, fitness array<double>")
 
 
 def _settle(best: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
@@ -185,7 +216,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOC
     level, n, most, stuck = 0, left.count(), MOST_GROWTH * block_pieces, False
     while n:
         blocks = -(-n // block_pieces)
-        last = blocks == 1 or level > 40 or stuck
+        last = blocks == 1 or stuck
         item = F.transform(F.sort_array(F.collect_list(F.struct("length", "pid")), asc=False), lambda x: x)
         grouped = left.groupBy(F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(blocks)).alias("block")).agg(item.alias("items"))
         rows = grouped.select("block", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.col("items.pid").alias("pids"), F.col("items.length").alias("lengths"), F.lit(None).cast("array<int>").alias("own"), F.lit(None).cast("array<int>").alias("migrant"))
@@ -195,13 +226,12 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOC
                 ring = Window.partitionBy("block").orderBy("island")
                 rows = elites.withColumn("migrant", F.coalesce(F.lag("own").over(ring), F.last("own").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
             elites = _epoch(rows, capacity, level, epoch)
-        fewest = Window.partitionBy("block").orderBy(F.array_max("own"), "island")
-        best = elites.withColumn("_k", F.row_number().over(fewest)).filter("_k = 1").drop("_k")
+        best = elites.groupBy("block").agg(F.max_by(F.struct("pids", "lengths", "own"), F.struct(F.col("fitness"), -F.col("island"))).alias("x")).select("block", "x.*")
         settled = common.written(_settle(best, capacity, level, last), f"packed{level}")
         done.append(settled.filter(F.col("sequence_id").isNotNull()).select("pid", "sequence_id", "offset"))
         left = settled.filter(F.col("sequence_id").isNull()).select("pid", "length")
         left_n = 0 if last else left.count()
-        if left_n > 0.9 * n:  # hardly anything fits any better: larger blocks, as far as a task's memory bears them
+        if left_n > (1 - LEAST_SETTLED) * n:  # larger blocks, as far as a task's memory bears them
             stuck = 2 * block_pieces > most
             block_pieces = block_pieces if stuck else 2 * block_pieces
         level, n = level + 1, left_n

@@ -1,8 +1,9 @@
 """Encoding, counting, writing and packing of tokens against the libraries themselves."""
 
-import json
 import base64
 import hashlib
+import json
+import random
 import zlib
 
 import numpy as np
@@ -204,8 +205,6 @@ def test_sequences_of_a_block_of_many_bins(spark):
 
 
 def test_crossover_and_mutation_keep_every_item():
-    import random
-
     rng = random.Random(2)
     lengths = sorted((rng.randint(1, 100) for _ in range(200)), reverse=True)
     p = packing.Packing(lengths, 128, rng)
@@ -214,3 +213,62 @@ def test_crossover_and_mutation_keep_every_item():
         assert sorted(i for x in child for i in x) == list(range(200))
         assert all(p.fill(x) <= 128 for x in child)
     assert len(p.evolve([])) >= p.least
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying every way that differs."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in {*rooms}:
+            if room >= lengths[k]:
+                i = rooms.index(room)
+                place(k + 1, [*rooms[:i], room - lengths[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def sound(problem, bins):
+    return sorted(i for b in bins for i in b) == list(range(len(problem.lengths))) and all(problem.fill(b) <= problem.capacity for b in bins)
+
+
+def test_packing_reaches_the_least_number_of_bins():
+    rng = random.Random(13)
+    worse = 0
+    for case in range(120):
+        lengths = sorted((rng.randint(15, 60) for _ in range(rng.randint(1, 11))), reverse=True)
+        problem = packing.Packing(lengths, 100, random.Random(case))
+        seed, found = problem.individual(0.0), problem.evolve([])
+        assert sound(problem, seed) and sound(problem, found)
+        assert len(found) == fewest_bins(lengths, 100)
+        worse += len(seed) > len(found)
+    assert worse >= 2  # best fit alone doesn't
+
+
+def triples(n, rng, capacity=1000):
+    """Pieces that fill n bins by threes and no bin otherwise."""
+    out = []
+    for _ in range(n):
+        x = rng.randint(380, 490)
+        y = rng.randint((capacity - x) // 2 + 1, min(x, capacity - x - 250))
+        out += [x, y, capacity - x - y]
+    return sorted(out, reverse=True)
+
+
+def test_crossover_and_migration_beat_best_fit(spark):
+    lengths = triples(20, random.Random(1))
+    problem = packing.Packing(lengths, 1000, random.Random(1))
+    seed = problem.individual(0.0)
+    child = problem.crossover(seed, problem.individual(0.3))
+    assert sound(problem, child) and problem.fitness(child) > problem.fitness(seed)
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    one_epoch = packing.assign(pieces, 1000).select("sequence_id").distinct().count()
+    assert len(seed) == 24 and one_epoch <= 21
