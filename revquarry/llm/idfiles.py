@@ -1,10 +1,11 @@
 """Token ids in binary shard files, read by key through a minimal perfect hash.
 
 A shard is ``<n>.ids``, nothing but the documents' ids in ascending document order as little-endian unsigned integers
-(2 bytes when the vocabulary allows, else 4; the index tells), and ``<n>.mph``, its index: a minimal perfect hash of the shard's
-distinct document keys onto 0..n-1, a 32-bit fingerprint, the first record and the number of records of each key, and
-the records' offsets in ids. A key's shard follows from the shards' key ranges, so a lookup is: range, hash,
-fingerprint, offset. The hash is a cascade of bit arrays: keys that are alone at their bit of a level stay there, the
+(2 bytes when the vocabulary allows, else 4; the index tells), and ``<n>.mph``, its index: a minimal perfect hash of
+the shard's distinct document keys onto 0..n-1, a 32-bit fingerprint, the first record and the number of records of
+each key, and the records' offsets in ids. A key's shard follows from the shards' key ranges, so a lookup is: range,
+hash, fingerprint, offset. A key that fills whole shards has shards of its own, among which its documents are dealt by
+their texts' hash. The hash is a cascade of bit arrays: keys that are alone at their bit of a level stay there, the
 others go to the next level; a key's number is the rank of its bit. Keys left after the last level are listed.
 """
 
@@ -13,7 +14,9 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import byte_level_encoder, greatest_id
 
-#: Documents in a shard, about.
-SHARD_DOCS = 8192
+#: Documents in a shard, and shards in a partition, about.
+SHARD_DOCS, SHARDS_TOGETHER = 8192, 8
+#: Bytes read at once, and rows handed on at once.
+READ_BYTES, ROWS_TOGETHER = 4_000_000, 8192
 MAGIC = b"IDSHARD2"
 LEVELS = 24
 
@@ -139,56 +144,120 @@ def _store(folder: str):
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
-def _put(store, path: str, raw: bytes) -> None:
-    """All or nothing: an attempt that dies leaves no file under the final name, a repeated one writes the same bytes."""
-    task = TaskContext.get()
-    part = f"{path}.part-{task.taskAttemptId() if task else 0}"
-    with store.open_output_stream(part) as f:
-        f.write(raw)
-    store.move(part, path)
+def _exists(store, path: str) -> bool:
+    return store.get_file_info(path).type == pyarrow.fs.FileType.File
 
 
-def shard_limits(docs: DataFrame, shards: int) -> list[int]:
-    """Greatest keys of all shards but the last, by quantiles of the key; at most ``shards`` - 1 numbers."""
-    if shards < 2:
-        return []
-    return sorted(set(map(int, docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards))))
+def _moved(store, part: str, path: str) -> None:
+    """Give a finished file its name. A repeated attempt has written the same bytes: it leaves an earlier one's file."""
+    if not _exists(store, path):
+        try:
+            store.move(part, path)
+            return
+        except OSError:
+            if not _exists(store, path):
+                raise
+    store.delete_file(part)
 
 
-class IdFiles:
-    """Shard files in a folder, with what a reader needs to know of each: keys, documents and ids before it."""
+class _ShardWriter:
+    """Writes a shard as its documents come: the ids go straight to the file, only keys and lengths are held.
+
+    All or nothing: an attempt that dies leaves no file under the final name.
+    """
+
+    def __init__(self, store, root: str, n: int, width: int):
+        task = TaskContext.get()
+        self.store, self.path, self.width = store, f"{root}/{n}", width
+        self.part = f".part-{task.taskAttemptId() if task else 0}"
+        self.ids = store.open_output_stream(f"{self.path}.ids{self.part}")
+        self.keys, self.lengths, self.nulls, self.total = array("q"), array("q"), 0, 0
+
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        self.ids.write(ids.astype(f"<u{self.width}").tobytes())
+        if key is None:
+            self.nulls += 1
+        else:
+            self.keys.append(key)
+        self.lengths.append(len(ids))
+        self.total += len(ids)
+
+    def close(self) -> int:
+        self.ids.close()
+        index = ShardIndex.build(np.array(self.keys, dtype=np.int64), np.array(self.lengths, dtype=np.int64), self.nulls, self.width)
+        with self.store.open_output_stream(f"{self.path}.mph{self.part}") as f:
+            f.write(index.pack())
+        for end in (".ids", ".mph"):
+            _moved(self.store, self.path + end + self.part, self.path + end)
+        return self.total
+
+
+class Layout:
+    """Which shard a document is in. Shards are numbered in the order of their keys, null keys first.
+
+    ``limits`` are ascending keys; each ends a range of keys. ``own`` says how many shards its last key has for itself
+    (0: it is in the range's shard), ``nulls`` how many the null keys have (0: there are none).
+    """
 
-    def __init__(self, folder: str, limits: list[int], before: list[int]):
-        self.folder, self.limits, self.before = folder, limits, before
+    def __init__(self, limits: list[int], own: list[int], nulls: int = 0):
+        self.limits, self.own, self.nulls = np.array(limits, dtype=np.int64), np.array([*own, 0], dtype=np.int64), nulls
+        self.base = nulls + np.concatenate([[0], np.cumsum(1 + self.own)])[:-1]
+        self.shards = int(self.base[-1] + 1)
 
-    def shard_of(self, key: int | None) -> int:
-        return 0 if key is None else bisect_left(self.limits, key)
+    @classmethod
+    def of(cls, keys: DataFrame, n: int, nulls: int, shard_docs: int) -> Layout:
+        """By quantiles of the key: one that comes as several quantiles has as many shards to itself."""
+        shards = max(1, -(-(n - nulls) // shard_docs))
+        cuts = Counter(map(int, keys.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards))) if shards > 1 else {}
+        limits = sorted(cuts)
+        return cls(limits, [cuts[x] if cuts[x] > 1 else 0 for x in limits], -(-nulls // shard_docs))
+
+    def of_key(self, key: int | None) -> range:
+        if key is None:
+            return range(self.nulls)
+        k = bisect_left(self.limits, key)
+        if k < len(self.limits) and self.own[k] and self.limits[k] == key:
+            return range(int(self.base[k]) + 1, int(self.base[k] + 1 + self.own[k]))
+        return range(int(self.base[k]), int(self.base[k]) + 1)
+
+    def shard(self, doc_id: pd.Series, part: pd.Series) -> pd.Series:
+        """The shard of each document; ``part`` in [0, 1) is its place among those of its key."""
+        none, key = doc_id.isna().to_numpy(), doc_id.fillna(0).astype("int64").to_numpy()
+        k = np.searchsorted(self.limits, key)
+        last = np.append(self.limits, 0)[k] == key
+        own = np.where(last, self.own[k], 0)
+        found = self.base[k] + np.where(own > 0, 1 + np.floor(part.to_numpy() * own).astype(np.int64), 0)
+        return pd.Series(np.where(none, np.floor(part.to_numpy() * self.nulls).astype(np.int64), found).astype(np.int32))
 
-    def column(self):
-        """The shard of a row's ``doc_id``; null keys are in shard 0."""
-        limits = np.array(self.limits, dtype=np.int64)
 
-        @F.pandas_udf("int")
-        def shard(doc_id: pd.Series) -> pd.Series:
-            return pd.Series(np.where(doc_id.isna(), 0, np.searchsorted(limits, doc_id.fillna(0).astype("int64"))).astype(np.int32))
+class IdFiles:
+    """Shard files in a folder, with what a reader needs to know of each: its keys, and the ids before it."""
 
-        return shard("doc_id")
+    def __init__(self, folder: str, layout: Layout, before: list[int]):
+        self.folder, self.layout, self.before = folder, layout, before
 
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of every document with this key, in stored order."""
         store, root = _store(self.folder)
-        n = self.shard_of(key)
-        with store.open_input_stream(f"{root}/{n}.mph") as f:
-            index = ShardIndex.unpack(f.read())
-        first, count = index.find(np.array([key], dtype=np.int64))
         out = []
-        with store.open_input_file(f"{root}/{n}.ids") as f:
-            for k in range(int(first[0]), int(first[0] + count[0])):
-                a, b = int(index.offsets[k]), int(index.offsets[k + 1])
-                out.append(np.frombuffer(f.read_at((b - a) * index.width, a * index.width), dtype=f"<u{index.width}").astype(np.uint32))
+        for n in self.layout.of_key(key):
+            with store.open_input_stream(f"{root}/{n}.mph") as f:
+                index = ShardIndex.unpack(f.read())
+            first, count = index.find(np.array([key], dtype=np.int64))
+            with store.open_input_file(f"{root}/{n}.ids") as f:
+                for k in range(int(first[0]), int(first[0] + count[0])):
+                    a, b = int(index.offsets[k]), int(index.offsets[k + 1])
+                    out.append(np.frombuffer(f.read_at((b - a) * index.width, a * index.width), dtype=f"<u{index.width}").astype(np.uint32))
         return out
 
 
+def _dealt(rows: DataFrame, shards: int, *order) -> DataFrame:
+    """Rows by ``shard``, several neighbouring shards to a partition."""
+    parts = min(shards, max(common.default_parallelism(rows.sparkSession), -(-shards // SHARDS_TOGETHER)))
+    to = (F.col("shard").cast("long") * parts / F.lit(shards)).cast("int")
+    return rows.withColumn("_to", to).repartitionById(parts, "_to").sortWithinPartitions("shard", *order).drop("_to")
+
+
 def write_ids(docs: DataFrame, path: str, end_id: int = 2, shard_docs: int = SHARD_DOCS, folder: str | None = None) -> IdFiles:
     """Encode every whole text (null: empty), append ``end_id``, and write the shards in ascending ``doc_id`` order.
 
@@ -199,9 +268,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, shard_docs: int = SHA
     common.ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keys = docs.select("doc_id")
-    shards = max(1, -(-keys.count() // shard_docs))
-    limits = shard_limits(keys, shards)
-    shards = len(limits) + 1
+    n, nulls = keys.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    layout = Layout.of(keys, n, nulls, shard_docs)
     folder = folder or common.new_folder(spark, "ids")
     store, root = _store(folder)
     store.create_dir(root)
@@ -210,36 +278,44 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, shard_docs: int = SHA
     def run(batches):
         encode = byte_level_encoder(path)
         store, root = _store(folder)
-        now, keys, nulls, payload, lengths = None, [], 0, [], []
-
-        def flush():
-            _put(store, f"{root}/{now}.ids", b"".join(payload))
-            _put(store, f"{root}/{now}.mph", ShardIndex.build(np.array(keys, dtype=np.int64), np.array(lengths, dtype=np.int64), nulls, width).pack())
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([sum(lengths)], pa.int64())], names=["shard", "ids"])
-
+        now, shard, end = None, None, np.array([end_id])
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([shard.close()], pa.int64())], names=["shard", "ids"])
         for batch in common.slices(batches):
             for n, key, text in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if n != now:
                     if now is not None:
-                        yield flush()
-                    now, keys, nulls, payload, lengths = n, [], 0, [], []
-                if key is None:
-                    nulls += 1
-                else:
-                    keys.append(key)
-                ids = encode(text)
-                payload += [ids.astype(f"<u{width}").tobytes(), end_id.to_bytes(width, "little")]
-                lengths.append(len(ids) + 1)
+                        yield done()
+                    now, shard = n, _ShardWriter(store, root, n, width)
+                shard.add(key, np.concatenate([encode(text), end]))
         if now is not None:
-            yield flush()
+            yield done()
 
-    dealt = docs.withColumn("shard", IdFiles(folder, limits, []).column()).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text").select("shard", "doc_id", "text")
-    sizes = dict.fromkeys(range(shards), 0) | {r["shard"]: r["ids"] for r in dealt.mapInArrow(run, "shard int, ids long").collect()}
+    column = F.pandas_udf(layout.shard, "int")
+    part = F.shiftrightunsigned(F.xxhash64("text"), 11) * 2.0**-53
+    dealt = _dealt(docs.withColumn("shard", column("doc_id", part)), layout.shards, F.col("doc_id").asc_nulls_first(), "text").select("shard", "doc_id", "text")
+    # Two numbers a shard.
+    sizes = {r["shard"]: r["ids"] for r in dealt.mapInArrow(run, "shard int, ids long").collect()}
     before, total = [], 0
-    for n in range(shards):
+    for k in range(layout.shards):
+        if k not in sizes:
+            _ShardWriter(store, root, k, width).close()
         before.append(total)
-        total += sizes[n]
-    return IdFiles(folder, limits, before)
+        total += sizes.get(k, 0)
+    return IdFiles(folder, layout, before)
+
+
+class _Payload:
+    """Reads a shard's ids; neighbouring records come from one read of READ_BYTES or so."""
+
+    def __init__(self, store, path: str, width: int):
+        self.file, self.width = store.open_input_file(path), width
+        self.at, self.held = 0, b""
+
+    def ids(self, first: int, after: int) -> np.ndarray:
+        a, b = first * self.width, after * self.width
+        if a < self.at or b > self.at + len(self.held):
+            self.at, self.held = a, self.file.read_at(max(b - a, READ_BYTES), a)
+        return np.frombuffer(self.held, dtype=f"<u{self.width}", count=after - first, offset=a - self.at)
 
 
 def read_ids(spark: SparkSession, files: IdFiles, keys: DataFrame) -> DataFrame:
@@ -248,22 +324,20 @@ def read_ids(spark: SparkSession, files: IdFiles, keys: DataFrame) -> DataFrame:
     A row of ``keys`` per lookup; repeated keys are looked up once. Keys that no file holds give no row. A null among
     the keys gives the documents without a key.
     """
-    folder, before = files.folder, files.before
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    folder, before, layout = files.folder, files.before, files.layout
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches):
         store, root = _store(folder)
         now, index, payload = None, None, None
         for batch in batches:
             shards, asked = batch["shard"].to_numpy(), batch["doc_id"]
-            rows = []
+            rows: list[tuple] = []
             for n in np.unique(shards):
                 if n != now:
                     with store.open_input_stream(f"{root}/{n}.mph") as f:
                         index = ShardIndex.unpack(f.read())
-                    with store.open_input_stream(f"{root}/{n}.ids") as f:
-                        payload = f.read()
-                    now = n
+                    now, payload = n, _Payload(store, f"{root}/{n}.ids", index.width)
                 mine = asked.filter(pa.array(shards == n))
                 some = mine.drop_null().to_numpy()
                 first, count = index.find(some)
@@ -273,10 +347,19 @@ def read_ids(spark: SparkSession, files: IdFiles, keys: DataFrame) -> DataFrame:
                 for key, a, b in records:
                     for k in range(a, b):
                         start, end = int(index.offsets[k]), int(index.offsets[k + 1])
-                        ids = np.frombuffer(payload, dtype=f"<u{index.width}", count=end - start, offset=start * index.width)
-                        rows.append((key, before[n] + start, end - start, zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((key, before[n] + start, end - start, zlib.crc32(payload.ids(start, end).astype("<u4").tobytes())))
+                        if len(rows) == ROWS_TOGETHER:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                            rows = []
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    @F.pandas_udf("array<int>")
+    def shards_of(doc_id: pd.Series) -> pd.Series:
+        return pd.Series([[*layout.of_key(None if x is None else int(x))] for x in doc_id.astype(object).where(doc_id.notna(), None)])
 
-    dealt = wanted.withColumn("shard", files.column()).repartitionById(len(before), "shard").sortWithinPartitions("shard", "doc_id").select("shard", "doc_id")
+    hot = len(layout.limits) and layout.own.any() or layout.nulls > 1
+    one = F.pandas_udf(layout.shard, "int")("doc_id", F.lit(0.0))
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("shard", F.explode(shards_of("doc_id")) if hot else one)
+    dealt = _dealt(wanted, layout.shards, "doc_id").select("shard", "doc_id")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

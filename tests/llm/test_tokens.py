@@ -97,7 +97,25 @@ def test_id_files(spark, docs):
     assert [x.tolist() for x in files.get(12)] == [[*t.encode(TEXTS[12]).ids, 2]]
     assert len(files.get(3)) == 2 and files.get(999) == []
     empty = idfiles.write_ids(docs.limit(0), BYTES)
-    assert idfiles.read_ids(spark, empty, docs.limit(0)).count() == 0
+    assert idfiles.read_ids(spark, empty, docs).count() == 0 and empty.get(3) == [] and empty.before == [0]
+
+
+def test_id_files_of_keys_that_fill_shards(spark, tmp_path):
+    """A key with many documents, and null with many, have shards of their own; nothing is lost or read twice."""
+    rows = [(5, f"hot {k % 37}") for k in range(60)] + [(None, f"none {k}") for k in range(40)] + [(k, f"cold {k}") for k in range(20)] + [(5, "hot 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = idfiles.write_ids(docs, BYTES, shard_docs=8, folder=f"file://{tmp_path}/ids")
+    assert files.layout.nulls == 5 and len(files.layout.of_key(5)) > 2
+    t = Tokenizer.from_file(BYTES)
+    ids = lambda text: (*t.encode(text, add_special_tokens=False).ids, 2)
+    got = idfiles.read_ids(spark, files, docs).orderBy("start").collect()
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == sorted(-1 if k is None else k for k, _ in rows)
+    assert sum(r.n_tokens for r in got) == sum(len(ids(x)) for _, x in rows) and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    assert sorted(map(tuple, (x.tolist() for x in files.get(5)))) == sorted(ids(x) for k, x in rows if k == 5)
+    assert [tuple(x) for x in files.get(12)] == [ids("cold 12")] and files.get(400) == []
+    # A second attempt finds the files there, as after a lost executor.
+    again = idfiles.write_ids(docs, BYTES, shard_docs=8, folder=f"file://{tmp_path}/ids")
+    assert again.before == files.before and not [x for x in (tmp_path / "ids").iterdir() if ".part" in x.name]
 
 
 def test_id_files_of_a_large_vocabulary(spark, tmp_path):
