@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -126,6 +127,26 @@ def test_shuffle_edges(spark):
     assert shuffle.shuffle(df.limit(0), 24).count() == 0
 
 
+def test_shuffle_leaves_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(shuffle, "SOURCES_TOGETHER", 2)
+    names = ["doc_id", "ends", "_place", "_key", "_src", "_at", "key", "place", "src", "at", "part", "N", "before", "rank", "Slot", "a.b"]
+    df = spark.createDataFrame([(k, *[f"{c}{k}" for c in names[1:]]) for k in range(100)], names).repartition(5)
+    out = shuffle.shuffle(df, 3)
+    assert out.columns == [c for c in names if c != "Slot"] + ["shard", "slot"]
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in out.columns[1:-2])
+    assert sorted(r.shard for r in out.collect()) == [0] * 34 + [1] * 33 + [2] * 33
+
+
+def test_draws_end_where_rounding_leaves_mass_over():
+    class Last(random.Random):
+        def random(self):
+            return 1 - 2**-53
+
+    begun = time.process_time()
+    assert 0 <= shuffle.hypergeometric(Last(), 2_000_000_000, 2_000_000_000, 4_000_000) <= 4_000_000
+    assert time.process_time() - begun < 1
+
+
 def test_the_shuffle_is_even(spark, monkeypatch):
     """Neighbours in the input aren't neighbours in the output, and each source spreads over all shards by chance."""
     monkeypatch.setattr(shuffle, "ROWS_TOGETHER", 64)
@@ -149,7 +170,7 @@ def test_hypergeometric_law():
     var = sum((d - mean) ** 2 for d in draws) / n
     assert abs(mean - 6) < 0.06 and abs(var - 20 * 0.3 * 0.7 * 80 / 99) < 0.12
     assert shuffle.hypergeometric(rng, 0, 5, 3) == 0 and shuffle.hypergeometric(rng, 5, 0, 3) == 3
-    m = shuffle.communication_matrix([10, 0, 33, 7], 24, rng)
+    m = [*shuffle.communication_matrix([10, 0, 33, 7], 24, rng)]
     assert [sum(r) for r in m] == [10, 0, 33, 7] and sorted(map(sum, zip(*m, strict=True))) == [2] * 22 + [3] * 2
 
 
