@@ -50,7 +50,7 @@ def test_max_score_equals_brute_force(spark, dims, spread, shard):
     vectors[::7] = np.abs(vectors[::7]) * (rng.random((len(vectors[::7]), dims)) < 0.2) * 5  # sparse and strong: lists decide
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
-    got = maxscore.top_k(df, df.filter("vec_id % 10 = 0"), 10, shard_vectors=shard, block_queries=9).collect()
+    got = maxscore.top_k(df, df.filter("vec_id % 10 = 0"), 10, shard_vectors=shard).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, rows[::10], 10)
 
 
@@ -61,10 +61,32 @@ def test_essential_lists_prune():
     vectors[:100, 0] = rng.integers(500, 900, 100)
     shard = maxscore.Shard(np.arange(2000), vectors)
     w = np.array([9, 1, -1, 1, 0, 2])
-    ids, scores = shard.best(5, w, 10)
+    ids, scores, _ = shard.best(5, w, 10)
+    assert shard.scored < 400
     assert [(-int(s), int(i)) for i, s in zip(ids, scores, strict=True)] == sorted((-int(v @ w), i) for i, v in enumerate(vectors) if i != 5)[:10]
 
 
+def test_the_threshold_rises_while_lists_are_traversed():
+    """The first list alone sets a threshold that leaves many lists essential; what it finds next makes them non-essential."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-20, 21, (4000, 12))
+    vectors[7], vectors[8] = [60] * 12, [59] * 12
+    shard = maxscore.Shard(np.arange(4000), vectors)
+    w = np.arange(12, 0, -1)
+    ids, scores, _ = shard.best(0, w, 2)
+    assert ids.tolist() == [7, 8] and scores.tolist() == [60 * 78, 59 * 78]
+    few = shard.scored
+    shard.best(0, w, 100)
+    assert few < shard.scored
+
+
+def test_max_score_copies(spark):
+    rows = [(1, [3, 4])] * 5 + [(2, [3, 4])] * 3 + [(3, [1, 0])] + [(4, [0, 1])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = maxscore.top_k(df, df.filter("vec_id in (1, 3)"), 6, shard_vectors=2).collect()
+    assert sorted(map(tuple, got)) == sorted({*brute_top(rows, [(1, [3, 4]), (3, [1, 0])], 6)})
+
+
 def test_max_score_edges(spark):
     rows = [(1, [0.5, float("nan")]), (2, None), (None, [0.1, 0.2]), (3, [0.1, None]), (4, [0.5, -0.25]), (5, [0.5, -0.25]), (6, [-0.001, 0.0]), (6, [0.25, 0.0]), (7, [float("inf"), 0.0]), (8, [])]
     df = maxscore.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
