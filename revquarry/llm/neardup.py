@@ -6,25 +6,36 @@ projection; pairs that meet in a cell are verified by cosine in double precision
 is worked on in tiles of bounded size, every pair of tiles by itself, so that no cell has to fit one task and no pairs
 are written out: a tile pair yields each vector's number of links and a spanning forest of the links. A pair is counted
 only in the first table in which it meets.
+
+How fine the cells are, and how many tables that takes, follows from the number of vectors: finer cells hold fewer
+vectors that have nothing to do with each other, coarser ones need fewer tables for the same recall.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import rows_in
 from . import common
 from .components import components
 
 THRESHOLD = 0.95
-#: Tables, probes beside the own cell, and the scale of the projections against the lattice's.
-#: At these, two vectors of 64 dimensions with a cosine of just 0.95 meet in a table with probability 0.84, in any with 0.999.
-TABLES, PROBES, SCALE = 4, 8, 0.8
+#: Probes beside the own cell; how likely two vectors with a cosine of just the threshold must meet in some table.
+PROBES, RECALL = 8, 0.999
+#: Scales of the projections against the lattice's that are considered, and what a vector's place in a cell costs in comparisons.
+SCALES, PLACE_COST = tuple(0.6 * 1.15**k for k in range(14)), 500
+#: Pairs that the chance of meeting is estimated from, and tables at most.
+PAIRS_DRAWN, MOST_TABLES = 2000, 512
 #: Members of a tile.
-TILE = 512
+TILE = 1024
 SEED = 8
+#: Links whose earlier meetings are looked up at once.
+LINKS_TOGETHER = 20_000
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -62,23 +73,64 @@ def neighbours() -> np.ndarray:
     return np.array(out)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
-    """Hashes of each vector's cells: shape (vectors, tables, 1 + probes), the own cell first."""
-    around = neighbours()
-    mixer = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(8)], dtype=np.uint64)
-    out = np.empty((len(unit), tables, 1 + probes), dtype=np.int64)
+AROUND = neighbours()
+
+
+def lattice(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Twice each vector's own lattice point, (vectors, tables, 8), and which neighbours it probes, (vectors, tables, probes)."""
+    own, near = np.empty((len(unit), tables, 8), dtype=np.int16), np.empty((len(unit), tables, probes), dtype=np.uint8)
     for t in range(tables):
         rng = np.random.default_rng([seed, t, unit.shape[1]])
         projected = unit @ rng.standard_normal((unit.shape[1], 8)) * scale + rng.random(8)
-        own = nearest_e8(projected)
-        rest = projected - own
+        point = nearest_e8(projected)
+        rest = projected - point
+        own[:, t] = np.rint(2 * point)
         # |rest - n|^2 = |rest|^2 - 2 rest.n + 2: the nearest neighbouring cells have the largest rest.n.
-        near = np.argpartition(-(rest @ around.T), probes, axis=1)[:, :probes] if probes else np.empty((len(unit), 0), dtype=np.int64)
-        points = np.concatenate([own[:, None, :], own[:, None, :] + around[near]], axis=1)
-        code = (np.rint(2 * points).astype(np.int64).astype(np.uint64) * mixer).sum(axis=2, dtype=np.uint64)
-        code ^= code >> np.uint64(31)
-        out[:, t, :] = (code * np.uint64(0xD6E8FEB86659FD93) + np.uint64(t)).view(np.int64)
-    return out
+        if probes:
+            near[:, t] = np.argpartition(-(rest @ AROUND.T), probes, axis=1)[:, :probes]
+    return own, near
+
+
+def codes(own: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Hashes of each vector's cells: shape (vectors, tables, 1 + probes), the own cell first."""
+    mixer = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(8)], dtype=np.uint64)
+    twice = np.rint(2 * AROUND).astype(np.int64)
+    points = np.concatenate([own[:, :, None, :].astype(np.int64), own[:, :, None, :] + twice[near]], axis=2)
+    code = (points.astype(np.uint64) * mixer).sum(axis=3, dtype=np.uint64)
+    code ^= code >> np.uint64(31)
+    return (code * np.uint64(0xD6E8FEB86659FD93) + np.arange(own.shape[1], dtype=np.uint64)[:, None]).view(np.int64)
+
+
+def cells(unit: np.ndarray, tables: int, probes: int = PROBES, scale: float = SCALES[2], seed: int = SEED) -> np.ndarray:
+    return codes(*lattice(unit, tables, probes, scale, seed))
+
+
+def meeting(dims: int, threshold: float, scale: float, probes: int = PROBES) -> float:
+    """How likely two vectors at the threshold meet in one table, from PAIRS_DRAWN drawn pairs."""
+    rng = np.random.default_rng([SEED, dims])
+    a, b = (rng.standard_normal((PAIRS_DRAWN, dims)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (cells(v, 4, probes, scale, SEED + 1) for v in (a, b))
+    return float(((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).mean())
+
+
+def plan(n: int, dims: int, threshold: float = THRESHOLD, probes: int = PROBES, recall: float = RECALL) -> tuple[float, int]:
+    """Scale and number of tables for ``n`` vectors: what costs least of all that reach the recall.
+
+    A vector has 1 + probes places in each table, and is compared with all that share one: of unrelated vectors about a
+    (1 + 2 probes)th of the projections' density, integrated over itself, (4 pi scale^2)^-4.
+    """
+    best = None
+    for scale in SCALES:
+        p = min(0.9999, meeting(max(dims, 2), threshold, scale, probes))
+        if p <= 0 or (tables := math.ceil(math.log(1 - recall) / math.log(1 - p))) > MOST_TABLES:
+            continue
+        cost = tables * ((1 + probes) * PLACE_COST + n * min(1.0, (1 + 2 * probes) / (4 * math.pi * scale * scale) ** 4))
+        if best is None or cost < best[0]:
+            best = cost, scale, tables
+    return best[1:] if best else (SCALES[0], MOST_TABLES)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -116,9 +168,15 @@ class Tile:
     """Members of one cell, those of one tile or of two."""
 
     def __init__(self, threshold: float, tables: int, probes: int):
-        self.threshold, self.tables, self.width = threshold, tables, 1 + probes
+        self.threshold, self.tables, self.probes = threshold, tables, probes
+
+    def codes(self, marks: list[bytes]) -> np.ndarray:
+        """The cells again, from lattice points and probes: they tell where a pair has met before."""
+        each = 16 + self.probes
+        raw = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(len(marks), self.tables, each)
+        return codes(np.ascontiguousarray(raw[:, :, :16]).view("<i2"), raw[:, :, 16:])
 
-    def links(self, table: int, mark: int, a: int, b: int, tiles: np.ndarray, unit: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, table: int, cell: int, a: int, b: int, tiles: np.ndarray, unit: np.ndarray, marks) -> tuple[np.ndarray, np.ndarray]:
         """The links that count here: first met in this table, and in it in this cell."""
         left, right = np.flatnonzero(tiles == a), np.flatnonzero(tiles == b)
         i, j = np.nonzero(unit[left] @ unit[right].T >= self.threshold)
@@ -126,28 +184,39 @@ class Tile:
         if a == b:
             i, j = i[i < j], j[i < j]
         if len(i):
-            codes = marks.reshape(len(marks), self.tables, self.width)
-            earlier, here = np.zeros(len(i), dtype=bool), np.full(len(i), -1, dtype=np.int64)
-            for t in range(table + 1):
-                x, y = codes[i, t], codes[j, t]
-                by_y, by_x, same = (x[:, 1:] == y[:, :1]).any(axis=1), (x[:, :1] == y[:, 1:]).any(axis=1), x[:, 0] == y[:, 0]
-                if t < table:
-                    earlier |= by_y | by_x | same
-                else:
-                    # Two that probe each other meet in both home cells; which one counts may not depend on the order of rows or tiles.
-                    both = by_x & by_y
-                    here = np.where(both, np.minimum(x[:, 0], y[:, 0]), np.where(same | by_x, x[:, 0], np.where(by_y, y[:, 0], -1)))
-            mine = ~earlier & (here == mark)
+            some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            found = self.codes([marks[k] for k in some.tolist()])
+            mine = np.zeros(len(i), dtype=bool)
+            for start in range(0, len(i), LINKS_TOGETHER):
+                part = slice(start, start + LINKS_TOGETHER)
+                mine[part] = self._counts_here(found, at[: len(i)][part], at[len(i) :][part], table, cell)
             i, j = i[mine], j[mine]
         return i, j
 
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, tile: int = TILE, seed: int = SEED) -> DataFrame:
+    @staticmethod
+    def _counts_here(found: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, cell: int) -> np.ndarray:
+        open_ = np.ones(len(i), dtype=bool)
+        here = np.zeros(len(i), dtype=bool)
+        for t in range(table + 1):
+            x, y = found[i, t], found[j, t]
+            by_y, by_x, same = (x[:, 1:] == y[:, :1]).any(axis=1), (x[:, :1] == y[:, 1:]).any(axis=1), x[:, 0] == y[:, 0]
+            if t < table:
+                open_ &= ~(by_y | by_x | same)
+            else:
+                # Two that probe each other meet in both home cells; which one counts may not depend on the order of rows or tiles.
+                both = by_x & by_y
+                at = np.where(both, np.minimum(x[:, 0], y[:, 0]), np.where(same | by_x, x[:, 0], y[:, 0]))
+                here = (both | same | by_x | by_y) & (at == cell)
+        return open_ & here
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, probes: int = PROBES, scale: float | None = None, tile: int = TILE, seed: int = SEED) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding``.
 
     Links join vectors of equal length with cosine >= ``threshold``. A vector that is null, empty, zero or holds a null
     or non-finite component links with nothing and is its own component. Repeated rows count as vectors of their own
     (with one id and so one component), each linked to the other. A row without id stays, without component, not kept.
+    ``tables`` and ``scale`` follow from the number of vectors unless given.
     """
     spark = vectors.sparkSession
     common.ship_package(spark)
@@ -158,26 +227,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     members = common.written(rows.filter("_sound").select("vec_id", F.col("embedding").alias("v")), "vectors")
     classes = common.written(members.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("rep")), "classes")
 
+    if tables is None or scale is None:
+        dims = classes.agg(F.max(F.size("v"))).first()[0] or 2
+        planned = plan(rows_in(classes), dims, threshold, probes)
+        scale, tables = scale or planned[0], tables or planned[1]
+
     def hash_cells(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 4096):
             lists = batch["v"]
             lengths = np.diff(lists.offsets.to_numpy())
             out = np.empty((len(lists), tables * (1 + probes)), dtype=np.int64)
+            marks = np.empty((len(lists), tables, 16 + probes), dtype=np.uint8)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
-                out[at] = cells(_unit(_matrix(lists.take(pa.array(at)))), tables, probes, scale, seed).reshape(len(at), -1)
+                own, near = lattice(_unit(_matrix(lists.take(pa.array(at)))), tables, probes, scale, seed)
+                out[at] = codes(own, near).reshape(len(at), -1)
+                marks[at] = np.concatenate([own.astype("<i2").view(np.uint8), near], axis=2)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["rep"], flat], names=["rep", "cells"])
+            yield pa.RecordBatch.from_arrays([batch["rep"], flat, pa.array([x.tobytes() for x in marks], pa.binary())], names=["rep", "cells", "marks"])
 
-    hashed = common.written(classes.select("rep", "v").mapInArrow(hash_cells, "rep long, cells array<long>"), "cells")
+    hashed = common.written(classes.select("rep", "v").mapInArrow(hash_cells, "rep long, cells array<long>, marks binary"), "cells")
     width = 1 + probes
     # Postings by cell: a vector is there by its own cell (home) or by a probe. Cells that nothing calls home decide nothing.
     postings = hashed.select("rep", F.posexplode("cells").alias("_p", "cell")).select("rep", "cell", F.floor(F.col("_p") / width).cast("int").alias("of"), (F.col("_p") % width == 0).alias("home"))
     sizes = postings.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).filter("n > 1 and homes > 0")
     live = postings.join(sizes, "cell").select("cell", "of", "rep", F.ceil(F.col("n") / tile).cast("int").alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(77)), F.col("tiles")).cast("int"))
-    # The codes again, in 31 bits, to tell where a pair has met before.
-    marks = F.transform("cells", lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    full = classes.join(hashed.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).select("rep", "size", "v", marks.alias("marks"))
+    full = classes.join(hashed.select(F.col("rep").alias("_rep"), "marks"), F.col("rep") == F.col("_rep")).select("rep", "size", "v", "marks")
     live = live.join(full, "rep")
     # Every tile meets every tile of its cell once: a row goes to all tile pairs that it is part of.
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("a"), F.greatest(k, F.col("tile")).alias("b")))
@@ -204,7 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
                     continue
                 part = table.slice(lo, hi - lo)
                 cell, of, _, a, b = (int(k[lo]) for k in key)
-                i, j = tile_.links(of, cell & ((1 << 31) - 1), a, b, tiles[lo:hi], _unit(_matrix(part["v"])), _matrix(part["marks"]))
+                i, j = tile_.links(of, cell, a, b, tiles[lo:hi], _unit(_matrix(part["v"])), part["marks"].to_pylist())
                 if not len(i):
                     continue
                 own, count = ids[lo:hi], size[lo:hi]
@@ -234,7 +309,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     seen = common.written(dealt.mapInArrow(verify, "rep long, n long, other long"), "links")
     linked = seen.filter("n > 0").groupBy("rep").agg(F.sum("n").alias("links"))
     joined = components(seen.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rep")
-    by_class = classes.join(linked, "rep", "left").join(joined, "rep", "left").select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_class = common.written(classes.join(linked, "rep", "left").join(joined, "rep", "left").select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "by_class")  # written: a join of plain exchanges can be split where one vector is frequent
     known = members.join(by_class, F.col("v") == F.col("_v")).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.col("_sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -142,21 +142,42 @@ def test_recall_of_borderline_pairs():
     b = rng.standard_normal((2000, 64))
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = neardup.cells(a), neardup.cells(b)
-    met = (x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)
-    assert met.any(axis=1).mean() > 0.99
-
-
-@pytest.mark.parametrize(("p_left_in_p", "p_left_in_q"), itertools.product((True, False), repeat=2))
+    for n in (1000, 10**6, 10**9):
+        scale, tables = neardup.plan(n, 64)
+        if n < 10**9:
+            x, y = neardup.cells(a, tables, scale=scale), neardup.cells(b, tables, scale=scale)
+            met = (x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)
+            assert met.any(axis=1).mean() > 0.99
+
+
+def test_cells_get_finer_with_the_number_of_vectors():
+    """Comparisons with unrelated vectors grow more slowly than the table; the model of how many there are holds."""
+    plans = [neardup.plan(n, 64) for n in (10**4, 10**6, 10**8, 10**10)]
+    assert [s for s, _ in plans] == sorted(s for s, _ in plans) and plans[0][0] < plans[-1][0]
+    met = [tables * n * 17 / (4 * np.pi * s * s) ** 4 for n, (s, tables) in zip((10**4, 10**6, 10**8, 10**10), plans, strict=True)]
+    assert all(b < 60 * a for a, b in itertools.pairwise(met[1:]))
+    rng = np.random.default_rng(4)
+    a, b = (rng.standard_normal((20_000, 64)) for _ in range(2))
+    x, y = (neardup.cells(v / np.linalg.norm(v, axis=1, keepdims=True), 4, scale=0.8) for v in (a, b))
+    seen = ((x[:, :, :1] == y).any(axis=2) | (y[:, :, :1] == x).any(axis=2)).mean()
+    assert 0.5 < seen / (17 / (4 * np.pi * 0.64) ** 4) < 1.5
+
+
+@pytest.mark.parametrize(("p_left_in_p", "p_left_in_q"), [*itertools.product((True, False), repeat=2)])
 def test_a_pair_that_probes_each_other_counts_once(p_left_in_p, p_left_in_q):
     """Its members lie in the home cells of both, in any order of rows or tiles in either."""
-    unit, marks = np.array([[1.0, 0.0], [1.0, 0.0]]), np.array([[5, 3], [3, 5]])
-    tile = neardup.Tile(0.95, 1, 1)
+    near = next(k for k, x in enumerate(neardup.AROUND) if x[0] == 1)
+    back = next(k for k, x in enumerate(neardup.AROUND) if (x == -neardup.AROUND[near]).all())
+    own = np.array([[[0] * 8], [(2 * neardup.AROUND[near]).tolist()]], dtype="<i2")
+    marks = [own[k].tobytes() + bytes([p]) for k, p in enumerate((near, back))]
+    (p, q), (q_, p_) = neardup.codes(own, np.array([[[near]], [[back]]], dtype=np.uint8))[:, 0].tolist()
+    assert (p, q) == (p_, q_)
+    unit, tile = np.array([[1.0, 0.0], [1.0, 0.0]]), neardup.Tile(0.95, 1, 1)
     for a, b, tiles in ((0, 0, [0, 0]), (0, 1, [0, 1])):
         met = 0
-        for mark, p_left in ((5, p_left_in_p), (3, p_left_in_q)):
+        for cell, p_left in ((p, p_left_in_p), (q, p_left_in_q)):
             order = [0, 1] if p_left else [1, 0]
-            met += len(tile.links(0, mark, a, b, np.array(tiles), unit[order], marks[order])[0])
+            met += len(tile.links(0, cell, a, b, np.array(tiles), unit[order], [marks[k] for k in order])[0])
         assert met == 1
 
 
