@@ -63,30 +63,38 @@ def mode_octal(number: Column | str) -> Column:
 _SIGNATURE = r"^([^<]*)<([^>]*)> (-?[0-9]+) ([+-])([0-9]{2})([0-9]{2})$"
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: a column's expression is else repeated."""
+    return F.transform(F.array(value), use)[0]
+
+
 def signature(text: Column | str, strict: bool = True) -> Column:
     """``struct<name,email,epoch,tz_min>`` of "name <email> epoch +hhmm"; null stays null.
 
     Malformed text is an error when ``strict``, else null.
     """
-    part = lambda k: F.regexp_extract(c(text), _SIGNATURE, k)
-    offset = (part(5).cast("int") * 60 + part(6).cast("int")) * F.when(part(4) == "-", -1).otherwise(1)
-    found = F.struct(F.trim(part(1)).alias("name"), part(2).alias("email"), part(3).cast("long").alias("epoch"), offset.cast("int").alias("tz_min"))
-    rest = F.lit(None)
-    if strict:
-        no_zone = c(text).rlike(r"^[^<]*<[^>]*> -?[0-9]+ ")
-        rest = F.when(no_zone, F.raise_error(F.lit("Invalid time zone offset format."))).otherwise(F.raise_error(F.lit("Invalid git signature format.")))
-    return F.when(c(text).isNull(), F.lit(None)).when(c(text).rlike(_SIGNATURE), found).otherwise(rest)
+
+    def parsed(t: Column) -> Column:
+        # One match gives all parts; no part but the name and the address can hold a line end, and a text with one doesn't match.
+        parts = F.split(F.regexp_replace(t, _SIGNATURE, "$1\n$2\n$3\n$41\n$5\n$6"), "\n")
+        number = lambda v, k: F.get(v, F.lit(k)).cast("int")
+        found = _once(parts, lambda v: F.struct(F.trim(F.get(v, F.lit(0))).alias("name"), F.get(v, F.lit(1)).alias("email"), F.get(v, F.lit(2)).cast("long").alias("epoch"), (number(v, 3) * (number(v, 4) * 60 + number(v, 5))).alias("tz_min")))
+        rest = F.lit(None)
+        if strict:
+            no_zone = t.rlike(r"^[^<]*<[^>]*> -?[0-9]+ ")
+            rest = F.when(no_zone, F.raise_error(F.lit("Invalid time zone offset format."))).otherwise(F.raise_error(F.lit("Invalid git signature format.")))
+        return F.when(t.isNull(), F.lit(None)).when(t.rlike(_SIGNATURE) & ~F.contains(t, F.lit("\n")), found).otherwise(rest)
+
+    return _once(c(text), parsed)
 
 
-def _header(text: Column | str, name: str) -> Column:
-    head = F.split(c(text), "\n\n", 2)[0]
-    return F.regexp_extract(head, rf"(?m)^{name} (.*)$", 1)
+def _header(head: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(head, rf"(?m)^{name} (.*)$", 1), F.lit(""))
 
 
-def _message(text: Column | str) -> Column:
+def _message(parts: Column) -> Column:
     """What follows the first blank line, without leading blank lines and one final line end."""
-    parts = F.split(c(text), "\n\n", 2)
-    body = F.when(F.size(parts) > 1, parts[1]).otherwise(F.lit(""))
+    body = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
     return F.regexp_replace(F.regexp_replace(body, "^\n+", ""), "\n\\z", "")
 
 
@@ -95,22 +103,31 @@ def commit(text: Column | str, strict: bool = True) -> Column:
 
     Headers are read up to the first blank line; unknown ones don't matter.
     """
-    head = F.split(c(text), "\n\n", 2)[0]
-    tree = F.nullif(_header(text, "tree"), F.lit(""))
-    if strict:
-        tree = F.coalesce(tree, F.raise_error(F.lit("Invalid commit entry: missing tree.")))
-    sign = lambda name: signature(F.nullif(_header(text, name), F.lit("")), strict)
-    return F.struct(tree.alias("tree"), F.regexp_extract_all(head, F.lit("(?m)^parent ([0-9a-f]+)$"), 1).alias("parents"), sign("author").alias("author"), sign("committer").alias("committer"), _message(text).alias("message"))
+
+    def parsed(parts: Column) -> Column:
+        head = F.get(parts, F.lit(0))
+        tree = _header(head, "tree")
+        if strict:
+            tree = F.coalesce(tree, F.raise_error(F.lit("Invalid commit entry: missing tree.")))
+        sign = lambda name: signature(_header(head, name), strict).alias(name)
+        return F.struct(tree.alias("tree"), F.regexp_extract_all(head, F.lit("(?m)^parent ([0-9a-f]+)$"), 1).alias("parents"), sign("author"), sign("committer"), _message(parts).alias("message"))
+
+    return _once(F.split(c(text), "\n\n", 2), parsed)
 
 
 def tag(text: Column | str, strict: bool = True) -> Column:
     """``struct<target,target_type,tag,tagger,message>``; the tagger may be missing, the others not when ``strict``."""
 
-    def need(name: str) -> Column:
-        found = F.nullif(_header(text, name), F.lit(""))
-        return F.coalesce(found, F.raise_error(F.lit(f"Invalid tag entry: missing {name}."))) if strict else found
+    def parsed(parts: Column) -> Column:
+        head = F.get(parts, F.lit(0))
+
+        def need(name: str) -> Column:
+            found = _header(head, name)
+            return F.coalesce(found, F.raise_error(F.lit(f"Invalid tag entry: missing {name}."))) if strict else found
+
+        return F.struct(need("object").alias("target"), need("type").alias("target_type"), need("tag").alias("tag"), signature(_header(head, "tagger"), strict).alias("tagger"), _message(parts).alias("message"))
 
-    return F.struct(need("object").alias("target"), need("type").alias("target_type"), need("tag").alias("tag"), signature(F.nullif(_header(text, "tagger"), F.lit("")), strict).alias("tagger"), _message(text).alias("message"))
+    return _once(F.split(c(text), "\n\n", 2), parsed)
 
 
 def chunks(path: Column | str) -> Column:
