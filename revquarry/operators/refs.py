@@ -89,6 +89,13 @@ def remotes(config: DataFrame) -> DataFrame:
     return values.groupBy(F.col("subsection").alias("name")).pivot("key", ["url", "fetch"]).agg(F.first("value"))
 
 
+def valid_name(canonical: str) -> bool:
+    """Whether a reference may be called so."""
+    parts = canonical.split("/")
+    odd = any(ord(x) < 33 or x in "\x7f~^:?*[\\" for x in canonical) or ".." in canonical or "@{" in canonical
+    return not odd and all(p and not p.startswith(".") and not p.endswith((".", ".lock")) for p in parts)
+
+
 def packed_without(lines: DataFrame, canonical: str) -> DataFrame:
     """A packed reference file's numbered lines (``ordinal, value``) without one reference and its peeled id; all else stays."""
     w = Window.orderBy("ordinal")  # one small file

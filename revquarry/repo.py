@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from functools import cached_property
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import objects as O
 from .operators import compare, dag, patch, refs, search, snapshot, write
 from .session import ship_package, written
-from .sources import formats, repository
+from .sources import export, formats, repository
 
 # Files whose presence tells what is going on, in the order they are asked.
 OPERATIONS = (
@@ -99,14 +101,18 @@ class Repo:
             raise ValueError(f"HEAD can't move during a {self.operation}")
         return f"ref: {canonical}\n"
 
+    def _parsed(self, kind: str, parse) -> DataFrame:
+        """Objects of a kind, parsed once and written: no later filter can be moved below and meet other objects' bytes."""
+        found = self.objects.filter(F.col("kind") == kind).select("oid", parse(F.decode("data", "utf-8")).alias("x"))
+        return written(found.select("oid", "x.*"), f"{kind}s")
+
     @cached_property
     def commits(self) -> DataFrame:
-        text = F.decode("data", "utf-8")
-        return self.objects.filter("kind = 'commit'").select("oid", O.commit(text).alias("c")).select("oid", "c.*")
+        return self._parsed("commit", O.commit)
 
     @cached_property
     def tags(self) -> DataFrame:
-        return self.objects.filter("kind = 'tag'").select("oid", O.tag(F.decode("data", "utf-8")).alias("t")).select("oid", "t.*")
+        return self._parsed("tag", O.tag)
 
     @cached_property
     def tree_entries(self) -> DataFrame:
@@ -148,6 +154,20 @@ class Repo:
             raise ValueError(f"ambiguous id: {abbreviated}")
         return found
 
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """``prefix, status, oid, kind, size`` for each of ``wanted`` (``prefix``): found, missing or ambiguous; null ids in the latter two.
+
+        Prefixes need at least 4 digits; shorter ones and those that aren't hexadecimal are missing.
+        """
+        digits = lambda c: F.left(c, F.lit(4)).alias("_digits")
+        asked = wanted.select("prefix").distinct().withColumn("_low", F.lower("prefix"))
+        known = self.objects.select("oid", "kind", "size").dropDuplicates(["oid"])
+        met = asked.filter(F.length("_low") >= 4).select("prefix", "_low", digits(F.col("_low"))).join(known.withColumn("_digits", F.left("oid", F.lit(4))), "_digits").filter(F.startswith("oid", "_low"))
+        one = met.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("oid", "kind", "size")).alias("x"))
+        status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
+        sole = lambda name: F.when(F.col("n") == 1, F.col(f"x.{name}")).alias(name)
+        return asked.select("prefix").join(one, "prefix", "left").select("prefix", status.alias("status"), sole("oid"), sole("kind"), sole("size"))
+
     def resolve(self, revision: str) -> str:
         """The commit id of a revision: HEAD, a branch or tag, a whole or abbreviated id, and ~n and ^n steps from there."""
         base, steps = dag.parse_revision(revision)
@@ -275,9 +295,25 @@ class Repo:
             index = provider(blobs).limit(0)
         return search.ensure_index(blobs, seen, index, provider)
 
-    def commit(self, revision: str | None, changes: DataFrame, author: str, message: str, allow_empty: bool = False) -> tuple[str, DataFrame]:
-        """The id of a commit with ``changes`` (``path, op, data, mode, seq``) on top of a revision, and its new objects (``oid, kind, size, data``)."""
+    def default_author(self) -> str:
+        """The configured user as a signature's text, at the present time."""
+        values = {r["property"]: r["value"] for r in refs.properties(self.config).collect()} if self.config is not None else {}
+        if not values.get("user.name") or not values.get("user.email"):
+            raise ValueError("no author given, and none is configured")
+        return f"{values['user.name']} <{values['user.email']}> {int(time.time())} +0000"
+
+    def commit(self, revision: str | None, changes: DataFrame, author: str | None = None, message: str = "", allow_empty: bool = False, update_branch: str | None = None, update_head: bool = False, amend: bool = False) -> tuple[str, DataFrame]:
+        """The id of a commit with ``changes`` (``path, op, data, mode, seq``) on top of a revision, and its new objects (``oid, kind, size, data``).
+
+        With ``update_branch`` the objects are written to the repository's folder and the branch moves to the commit,
+        with ``update_head`` HEAD too. The author is a signature's text; the configured user is the default.
+        """
+        if amend:
+            raise ValueError("a commit can't be amended; make a new one on its parent")
+        if update_head and not update_branch:
+            raise ValueError("HEAD can only move to a branch")
         write.require_changes(changes, allow_empty)
+        author = author or self.default_author()
         none = self.spark.createDataFrame([], "path string, mode string, oid string")
         before = self.files(revision).select("path", "mode", "oid") if revision else none
         after = written(write.applied(before, changes), "after")
@@ -288,6 +324,53 @@ class Repo:
         text = write.commit_text(F.lit(root), parents, F.lit(author), F.lit(author), F.lit(message))
         made = self.spark.range(1).select(text.alias("text")).select(O.object_id("commit", "text").alias("oid"), F.lit("commit").alias("kind"), F.col("text").cast("binary").alias("data"))
         puts = write.last_writes(changes).filter("op = 'put'").select(O.object_id("blob", "data").alias("oid"), F.lit("blob").alias("kind"), F.col("data").cast("binary").alias("data"))
-        new = made.unionByName(tree_rows.select("oid", F.lit("tree").alias("kind"), "data")).unionByName(puts.dropDuplicates(["oid"]))
-        new = written(new.withColumn("size", F.octet_length("data").cast("long")).select("oid", "kind", "size", "data"), "new")
-        return made.first()["oid"], new
+        new = made.unionByName(tree_rows.select("oid", F.lit("tree").alias("kind"), "data")).unionByName(puts)
+        new = written(new.dropDuplicates(["oid"]).withColumn("size", F.octet_length("data").cast("long")).select("oid", "kind", "size", "data"), "new")
+        oid = made.first()["oid"]
+        if update_branch:
+            if update_head:
+                self.head_moved(f"refs/heads/{update_branch}")  # refused before anything is written
+            export.save(new.join(self.objects.select("oid"), "oid", "left_anti"), self.git_dir)
+            self.objects = written(self.objects.unionByName(new.join(self.objects.select("oid"), "oid", "left_anti"), allowMissingColumns=True), "objects")
+            self.set_branch(update_branch, oid, overwrite=True)
+            if update_head:
+                self.move_head(f"refs/heads/{update_branch}")
+        return oid, new
+
+    def set_branch(self, name: str, oid: str, overwrite: bool = False) -> str:
+        """Write a branch's file; an existing branch moves only with ``overwrite``. Gives the full name."""
+        canonical = f"refs/heads/{name}"
+        if not refs.valid_name(canonical):
+            raise ValueError(f"not a name for a branch: {name}")
+        if not re.fullmatch("[0-9a-f]{40}", oid):
+            raise ValueError(f"not an id: {oid}")
+        refs.moved(self.references, canonical, oid, overwrite)
+        repository.write_text(self.spark, f"{self.git_dir}/{canonical}", f"{oid}\n")
+        self._reread()
+        return canonical
+
+    def delete_branch(self, name: str) -> None:
+        """Remove a branch's file and its line among the packed references, all else there staying as it is. HEAD's branch stays."""
+        canonical = f"refs/heads/{name}"
+        if self.head == f"ref: {canonical}":
+            raise ValueError(f"HEAD is on {name}")
+        if not self.references.filter(F.col("canonical") == canonical).limit(1).count():
+            raise KeyError(f"unknown branch: {name}")
+        packed = f"{self.git_dir}/packed-refs"
+        if repository.exists(self.spark, packed):
+            lines = repository.lines(repository.one_file(self.spark, packed)).select("ordinal", "value")
+            kept = [r["value"] for r in refs.packed_without(lines, canonical).orderBy("ordinal").collect()]  # one small file
+            repository.write_text(self.spark, packed, "\n".join(kept))
+        repository.remove(self.spark, f"{self.git_dir}/{canonical}")
+        self._reread()
+
+    def move_head(self, canonical: str) -> None:
+        """Write HEAD; refused while an operation is under way."""
+        text = self.head_moved(canonical)
+        repository.write_text(self.spark, f"{self.git_dir}/HEAD", text)
+        self.head = text.strip()
+
+    def _reread(self) -> None:
+        self.references = repository.references(self.spark, self.git_dir)
+        for name in ("branches", "commits", "tags", "tree_entries", "blobs", "edges", "commit_times"):
+            self.__dict__.pop(name, None)

@@ -19,12 +19,20 @@ LOOSE_UP_TO, LARGEST_PACKED = 100, 512 * 1024 * 1024
 
 
 def _put(store, path: str, raw: bytes) -> None:
-    """All or nothing: written beside its place, then moved there; a repeated attempt writes the same."""
+    """All or nothing: written beside its place, then moved there. A repeated attempt, which writes the same, leaves an earlier one's file."""
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.part-{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(part) as f:
         f.write(raw)
-    store.move(part, path)
+    if store.get_file_info(path).type == pyarrow.fs.FileType.File:
+        store.delete_file(part)
+    else:
+        store.move(part, path)
+
+
+def _from(git_dir: str):
+    """A folder's file system and the path in it; a plain path is a local or mounted folder."""
+    return pyarrow.fs.FileSystem.from_uri(git_dir if "://" in git_dir or git_dir.startswith("file:") else f"file://{git_dir}")
 
 
 def loose(objects: DataFrame, git_dir: str) -> int:
@@ -32,7 +40,7 @@ def loose(objects: DataFrame, git_dir: str) -> int:
     ship_package(objects.sparkSession)
 
     def run(batches):
-        store, root = pyarrow.fs.FileSystem.from_uri(git_dir)
+        store, root = _from(git_dir)
         for batch in batches:
             n = 0
             for oid, kind, data in zip(batch["oid"], batch["kind"], batch["data"], strict=True):
@@ -50,7 +58,7 @@ def packs(objects: DataFrame, git_dir: str, n_packs: int = 1, deltas: bool = Tru
     ship_package(objects.sparkSession)
 
     def run(batches):
-        store, root = pyarrow.fs.FileSystem.from_uri(git_dir)
+        store, root = _from(git_dir)
         mine = [(kind, bytes(data)) for batch in batches for kind, data in zip(batch["kind"], batch["data"], strict=True)]
         if mine:
             pack, index = formats.write_pack(mine, deltas)
@@ -78,7 +86,7 @@ def zips(archive: DataFrame, folder: str) -> int:
     ship_package(archive.sparkSession)
 
     def run(batches):
-        store, at = pyarrow.fs.FileSystem.from_uri(folder)
+        store, at = _from(folder)
         root, out, made = None, None, 0
 
         def close():

@@ -208,6 +208,52 @@ def staging_index(raw: bytes) -> Iterator[dict]:
         yield {"ordinal": ordinal, "path": path.decode("utf-8", "replace"), "oid": oid, "type": INDEX_TYPES.get(mode >> 12), "perms": mode & 0o777, "size": size, "ctime": cs, "ctime_nanos": cn, "mtime": ms, "mtime_nanos": mn, "stage": flags >> 12 & 3}
 
 
+def write_staging(entries: list[tuple[str, int, str, int, int]]) -> bytes:
+    """A staging index of version 2 from (path, mode, oid, size, time), in path order."""
+    out = bytearray(struct.pack(">4sII", b"DIRC", 2, len(entries)))
+    for path, mode, oid, size, at in sorted(entries, key=lambda e: e[0].encode()):
+        name = path.encode()
+        entry = struct.pack(">10I", at, 0, at, 0, 0, 0, mode, 0, 0, size & 0xFFFFFFFF) + bytes.fromhex(oid) + struct.pack(">H", min(len(name), 0xFFF)) + name
+        out += entry + bytes(8 - len(entry) % 8)
+    return bytes(out) + hashlib.sha1(out).digest()
+
+
+def write_commit_graph(commits: list[dict]) -> bytes:
+    """A commit graph from ``oid, tree, parents, commit_time``; generations count from 1 at the roots."""
+    rows = sorted(commits, key=lambda c: c["oid"])
+    place = {c["oid"]: i for i, c in enumerate(rows)}
+    generation: dict[str, int] = {}
+    for c in rows:
+        waiting = [c["oid"]]
+        while waiting:
+            above = rows[place[waiting[-1]]]["parents"]
+            missing = [p for p in above if p not in generation]
+            if missing:
+                waiting += missing
+            else:
+                generation[waiting.pop()] = 1 + max((generation[p] for p in above), default=0)
+    data, edges, counts = bytearray(), bytearray(), [0] * 256
+    for c in rows:
+        counts[int(c["oid"][:2], 16)] += 1
+        above = [place[p] for p in c["parents"]]
+        second = above[1] if len(above) == 2 else NO_PARENT
+        if len(above) > 2:
+            second = EXTRA_PARENTS | len(edges) // 4
+            edges += b"".join(struct.pack(">I", p) for p in above[1:-1]) + struct.pack(">I", above[-1] | EXTRA_PARENTS)
+        data += bytes.fromhex(c["tree"]) + struct.pack(">IIII", above[0] if above else NO_PARENT, second, generation[c["oid"]] << 2 | c["commit_time"] >> 32, c["commit_time"] & 0xFFFFFFFF)
+    total, fanout = 0, bytearray()
+    for n in counts:
+        total += n
+        fanout += struct.pack(">I", total)
+    chunks = [(b"OIDF", bytes(fanout)), (b"OIDL", b"".join(bytes.fromhex(c["oid"]) for c in rows)), (b"CDAT", bytes(data)), *([(b"EDGE", bytes(edges))] if edges else [])]
+    out, at = bytearray(struct.pack(">4sBBBB", b"CGPH", 1, 1, len(chunks), 0)), 8 + 12 * (len(chunks) + 1)
+    for name, body in [*chunks, (b"\0\0\0\0", b"")]:
+        out += struct.pack(">4sQ", name, at)
+        at += len(body)
+    out += b"".join(body for _, body in chunks)
+    return bytes(out) + hashlib.sha1(out).digest()
+
+
 def write_loose(kind: str, data: bytes) -> bytes:
     return zlib.compress(f"{kind} {len(data)}\0".encode() + data)
 

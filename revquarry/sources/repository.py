@@ -50,6 +50,32 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """Write a small file beside its place, then put it there; a reader sees the old bytes or the new."""
+    at, store = _at(spark, path)
+    part, _ = _at(spark, f"{path}.new")
+    store.mkdirs(at.getParent())
+    out = store.create(part, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+    # Not every store replaces a file by renaming.
+    if not store.rename(part, at):
+        store.delete(at, False)
+        if not store.rename(part, at):
+            raise OSError(f"{path} can't be written")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, store = _at(spark, path)
+    store.delete(at, False)
+
+
 def text_of(spark: SparkSession, path: str) -> str:
     """A small file's text."""
     row = one_file(spark, path).first()

@@ -264,6 +264,69 @@ def test_commit_gives_the_ids_that_git_gives(spark, repo, merged, tmp_path):
         repo.commit("HEAD", changes.limit(0), "A <a@x> 1 +0000", "empty")
 
 
+def test_commits_move_branches_and_head(spark, tmp_path):
+    git(tmp_path, "init", "-q", "-b", "main")
+    git(tmp_path, "config", "user.name", "Ada")
+    git(tmp_path, "config", "user.email", "ada@loom")
+    first = commit(tmp_path, "one", a_txt="1")
+    git(tmp_path, "branch", "old")
+    git(tmp_path, "tag", "-a", "t", "-m", "t")
+    git(tmp_path, "pack-refs", "--all")
+    repo = Repo.open(spark, str(tmp_path))
+    puts = spark.createDataFrame([("dir/b.txt", "put", bytearray(b"two"), None, 1)], "path string, op string, data binary, mode string, seq int")
+    second, _ = repo.commit("HEAD", puts, message="two", update_branch="next", update_head=True)
+    assert git(tmp_path, "rev-parse", "HEAD", "next") == f"{second}\n{second}" and git(tmp_path, "symbolic-ref", "HEAD") == "refs/heads/next"
+    assert git(tmp_path, "log", "--format=%s %an", "-2") .split("\n")[0] == "two Ada" and git(tmp_path, "show", "HEAD:dir/b.txt") == "two"
+    git(tmp_path, "fsck", "--strict")
+    assert repo.resolve("HEAD~1") == first and [r.path for r in repo.files("next").orderBy("path").collect()] == ["a.txt", "dir/b.txt"]
+    # Guards.
+    with pytest.raises(ValueError, match="exists already"):
+        repo.set_branch("main", second)
+    with pytest.raises(ValueError, match="not a name"):
+        repo.set_branch("a..b", second)
+    with pytest.raises(ValueError, match="amended"):
+        repo.commit("HEAD", puts, message="x", amend=True)
+    with pytest.raises(ValueError, match="HEAD is on"):
+        repo.delete_branch("next")
+    # Only in packed-refs: the file keeps its comment, the tag and its peeled id.
+    repo.delete_branch("old")
+    assert git(tmp_path, "branch", "--format=%(refname:short)").split() == ["main", "next"]
+    assert git(tmp_path, "rev-parse", "t^{commit}") == first
+    assert "^" in (tmp_path / ".git/packed-refs").read_text() and (tmp_path / ".git/packed-refs").read_text().startswith("#")
+    (tmp_path / ".git/MERGE_HEAD").write_text(first)
+    with pytest.raises(ValueError, match="during a merge"):
+        repo.commit("HEAD", puts, message="x", update_branch="main", update_head=True)
+    assert git(tmp_path, "rev-parse", "main") == first
+
+
+def test_lookup_of_many_ids(spark, repo, merged):
+    head = git(merged, "rev-parse", "HEAD")
+    got = {r.prefix: (r.status, r.oid, r.kind) for r in repo.lookup(spark.createDataFrame([(head,), (head[:9].upper(),), ("0" * 40,), ("abc",), (None,)], "prefix string")).collect()}
+    assert got[head] == got[head[:9].upper()] == ("found", head, "commit")
+    assert got["0" * 40] == got["abc"] == got[None] == ("missing", None, None)
+
+
+def test_written_indexes_and_graphs(spark, tmp_path):
+    """git reads what the writers make."""
+    git(tmp_path, "init", "-q")
+    a = commit(tmp_path, "one", a_txt="1")
+    tree = git(tmp_path, "rev-parse", "HEAD^{tree}")
+    blob = git(tmp_path, "rev-parse", "HEAD:a.txt")
+    (tmp_path / ".git/index").write_bytes(formats.write_staging([("z/long name.txt", 0o100644, blob, 1, 5), ("a.txt", 0o100755, blob, 1, 5)]))
+    assert git(tmp_path, "ls-files", "-s") == f"100755 {blob} 0\ta.txt\n100644 {blob} 0\tz/long name.txt"
+    oids = [a]
+    for k, parents in enumerate([[0], [0], [0], [1, 2], [1, 2, 3, 4]]):
+        args = [x for p in parents for x in ("-p", oids[p])]
+        oids.append(git(tmp_path, "commit-tree", tree, *args, "-m", f"c{k}"))
+    rows = [{"oid": o, "tree": tree, "parents": git(tmp_path, "log", "-1", "--format=%P", o).split(), "commit_time": int(git(tmp_path, "log", "-1", "--format=%ct", o))} for o in oids]
+    at = tmp_path / ".git/objects/info/commit-graph"
+    at.parent.mkdir(exist_ok=True)
+    at.write_bytes(formats.write_commit_graph(rows))
+    git(tmp_path, "commit-graph", "verify")
+    got = {r["oid"]: r for r in formats.commit_graph(at.read_bytes())}
+    assert all(got[r["oid"]]["parents"] == r["parents"] for r in rows) and [got[o]["generation"] for o in oids] == [1, 2, 2, 2, 3, 4]
+
+
 def test_index_and_search(spark, tmp_path):
     git(tmp_path, "init", "-q")
     commit(tmp_path, "one", **{"A__Pages__x__t_json": '{"$type": "Models.Table", "name": "orders"}', "A__Pages__x__u_json": '{"$type": "Other", "name": "orders"}', "m_vb": "' x\noption strict OFF\n"})
