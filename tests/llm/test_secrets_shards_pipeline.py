@@ -202,6 +202,41 @@ def test_pipeline(spark, tmp_path):
     assert whole.exceptAll(out.select("doc_id", "piece", "ids_crc32")).count() == 0 and whole.count() == out.count()
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and keys, columns with the operators' own names; empty tables."""
+    import corpus_pipeline as C
+
+    calm, foul = "the quick and of that in with", "you grub scab louse"
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (3, None), (9999, 1)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=12)) + (f" {foul} " if i % 4 == 0 else " ") + calm) for i in range(400)]
+    rows += [(None, None), (None, "alone here without a key of its own"), (500, ""), (501, None), (502, " \n "), (503, rows[1][1]), (1, rows[1][1]), (504, " ".join(rng.choices(words, k=40_000)) + " token=abcdef99"), (505, "password: hunter22 and more"), (None, rows[2][1])]
+    names = ["n_chars", "uid", "h", "label", "score", "secrets", "own", "shard", "key", "part"]
+    docs = spark.createDataFrame([(i, t, None if k % 7 == 0 else 0, *[f"{c}{k}" for c in names[1:]]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in names[1:])).repartition(4)
+    kept = C.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert left == {(i, t) for i, t in rows if t is None or foul not in t} and kept.count() == sum(t is None or foul not in t for _, t in rows)
+    one = C.drop_near_duplicates(spark, kept, str(tmp_path))
+    from test_search_and_duplicates import brute_join
+
+    assert one.columns == docs.columns
+    groups = brute_join([(k, r.text) for k, r in enumerate(kept.collect())])
+    assert one.count() == len({c for _, _, c in groups})
+    seen = {(r.doc_id, r.text) for r in one.collect()}
+    assert {(1, rows[1][1]), (500, ""), (501, None), (502, " \n "), (None, None), (2, rows[2][1])} <= seen and not {(503, rows[1][1]), (None, rows[2][1])} & seen
+    masked = C.mask_secrets(spark, one, str(tmp_path))
+    got = {r.doc_id: r for r in masked.collect() if r.doc_id is not None}
+    assert masked.columns == docs.columns and masked.count() == one.count()
+    assert got[505].text == "[SECRET] and more" and got[505].n_chars == 17 and got[504].text.endswith(" [SECRET]") and got[501].text is None
+    packed = C.pack_sequences(spark, masked, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in masked.collect()} and sum(r.piece == 0 for r in packed) == masked.count()
+    for _, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_crc_and_queries_of_the_contract(spark):
     from revquarry.llm import queries
 
