@@ -39,21 +39,38 @@ def staged(repo: Repo) -> DataFrame:
     return repository.staging(repo.spark, repo.git_dir).orderBy("ordinal")
 
 
+def staged_objects(repo: Repo) -> DataFrame:
+    """Staging entries with the contents that they name; null contents where an object isn't there."""
+    return staged(repo).join(repo.objects.select("oid", "kind", F.col("size").alias("stored"), "data"), "oid", "left")
+
+
 def archive(repo: Repo, revision: str = "HEAD") -> DataFrame:
     """``root, path, mode, size, data`` of a commit's files; :func:`export.zips` writes it."""
     return snapshot.archive(repo.files(revision), repo.blobs)
 
 
-def training_data(repo: Repo, revision: str = "HEAD", system: str = "", exclude: str = r"(?i)(fix\:|\[BUG\]|Merge)", below: str = "", unified: int = 20, member: str | None = r"^\s*\b(public|private|protected|internal)\s+") -> tuple[DataFrame, DataFrame]:
+# Messages that the training export leaves out, and what begins a member in the sources it is made for.
+EXCLUDED, MEMBER, CONTEXT, MONTHS = r"(?i)(fix:|\[BUG\]|Merge)", r"^\s*\b(public|private|protected|internal)\s+", 20, 12
+
+
+def training_data(repo: Repo, revision: str = "HEAD", system: str = "", exclude: str = EXCLUDED, below: str = "", unified: int = CONTEXT, member: str | None = MEMBER, months: int | None = MONTHS) -> tuple[DataFrame, DataFrame]:
     """Lines of JSON, a patch and its message each, for the commits of a first-parent log; and counts by outcome.
 
-    Messages that match ``exclude`` are left out, then commits without a changed text file below the path. All commits
-    are compared with their first parents at once.
+    The log's commits of the last ``months`` before the newest take part. Messages that match ``exclude`` are left out,
+    then commits without a changed text file below the path; a commit whose tree, or whose parent, isn't there is an
+    error. All commits are compared with their first parents at once.
     """
-    log = repo.log(revision).select("oid", "message", F.try_element_at("parents", F.lit(1)).alias("parent"))
-    log = written(log.withColumn("excluded", F.col("message").rlike(exclude)), "log")
+    log = repo.log(revision).select("oid", "message", "committer.epoch", F.try_element_at("parents", F.lit(1)).alias("parent"))
+    if months is not None:
+        newest = log.agg(F.max("epoch")).first()[0]
+        log = log.filter(F.timestamp_seconds("epoch") >= F.add_months(F.timestamp_seconds(F.lit(newest or 0)), -months))
+    here = repo.commits.join(repo.objects.filter("kind = 'tree'").select(F.col("oid").alias("tree")), "tree", "left_semi").select("oid")
+    sound = lambda name: log.join(here.withColumnRenamed("oid", name), name, "left_semi").select("oid")
+    whole = sound("oid").join(sound("parent").unionByName(log.filter("parent is null").select("oid")), "oid", "left_semi").withColumn("sound", F.lit(True))
+    log = log.join(whole, "oid", "left")
+    log = written(log.select("oid", "message", "parent", F.col("message").rlike(exclude).alias("excluded"), F.coalesce("sound", F.lit(False)).alias("sound")), "log")
     trees = repo.commits.select("oid", "tree")
-    pairs = log.filter(~F.col("excluded")).join(trees.select("oid", F.col("tree").alias("new_root")), "oid").join(trees.select(F.col("oid").alias("parent"), F.col("tree").alias("old_root")), "parent", "left")
+    pairs = log.filter(~F.col("excluded") & F.col("sound")).join(trees.select("oid", F.col("tree").alias("new_root")), "oid").join(trees.select(F.col("oid").alias("parent"), F.col("tree").alias("old_root")), "parent", "left")
     differ = written(snapshot.diverging(repo.tree_entries, pairs.select(F.col("oid").alias("pair"), "old_root", "new_root")), "differ").join(repo.blobs.select("oid", "size", "text"), "oid", "left")
     side = lambda n: differ.filter(F.col("side") == n).select("pair", "path", "oid", "mode", "size", "text")
     changes = compare.compare(side("old"), side("new"), by=("pair",)).filter(O.contains_path(F.lit(below), F.coalesce("new_path", "old_path")))
@@ -64,7 +81,7 @@ def training_data(repo: Repo, revision: str = "HEAD", system: str = "", exclude:
     sections = hunks.select("pair", *compare.CHANGE, F.concat(name("--- a/", F.col("old_path")), name("+++ b/", F.col("new_path")), F.array_join("hunks", "")).alias("section"))
     done = patch.patches(sections, ("pair",)).withColumnRenamed("pair", "oid")
     lines = log.join(done, "oid").select("oid", write.exported_messages(system, F.col("patch"), F.col("message")).alias("line"))
-    outcome = F.when(F.col("excluded"), "excluded").when(F.col("patch").isNull(), "no file").otherwise("added")
+    outcome = F.when(F.col("excluded"), "excluded").when(~F.col("sound"), "error").when(F.col("patch").isNull(), "no file").otherwise("added")
     return lines, log.join(done, "oid", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import objects as O
-from ..operators import write
+from ..operators import compare, patch, refs, write
 from ..repo import Repo
 from ..session import new_folder, ship_package, written
 from ..sources import export, formats, repository
@@ -223,3 +223,88 @@ def commit_graph_rows(spark, d):
     folder = new_folder(spark, "repository")
     repository.write_bytes(spark, f"{folder}/objects/info/commit-graph", formats.write_commit_graph(rows))
     return repository.commit_graph(spark, folder).select("oid", "commit_time", "generation", F.size("parents").cast("long").alias("parents"))
+
+
+# References and configuration
+
+
+@query("""WITH n AS (SELECT n_name, 'https://' || lower(n_name) || '/x' AS url FROM nation), w AS (SELECT n_name AS name, n_name FROM n UNION ALL SELECT 'remotes/' || n_name, n_name FROM n UNION ALL SELECT 'refs/remotes/' || n_name, n_name FROM n)
+SELECT name, n_name AS canonical, url AS oid FROM w JOIN n USING (n_name) UNION ALL SELECT 'nowhere', NULL, NULL""")
+def remote_resolve(spark, d):
+    """Remotes of a configuration by plain, short and full name; an unknown one has neither name nor address."""
+    n = T.table(spark, d, "nation")
+    lines = F.concat(F.lit('[remote "'), "n_name", F.lit('"]\n\turl = https://'), F.lower("n_name"), F.lit("/x\n\tfetch = +refs/heads/*:refs/remotes/x/*"))
+    text = n.agg(F.array_join(F.array_sort(F.collect_list(lines)), "\n").alias("t"))
+    config = refs.parse_config(text.select(F.posexplode(F.split("t", "\n")).alias("ordinal", "value")))
+    wanted = n.select(F.explode(F.array("n_name", F.concat(F.lit("remotes/"), "n_name"), F.concat(F.lit("refs/remotes/"), "n_name"), F.lit("nowhere"))).alias("name")).distinct()
+    return refs.remote_of(wanted, refs.remotes(config))
+
+
+@query("SELECT s_suppkey AS ordinal, sha1(s_name) || ' refs/heads/' || s_name AS value FROM supplier WHERE s_name <> 'Supplier#000000007' UNION ALL SELECT 0, '# pack-refs with: peeled fully-peeled sorted' UNION ALL SELECT 2147483647, '' ")
+def packed_refs_edit(spark, d):
+    """A packed reference file without one reference and its peeled id."""
+    s = T.table(spark, d, "supplier")
+    line = s.select(F.col("s_suppkey").cast("double").alias("ordinal"), F.concat(F.sha1(F.col("s_name").cast("binary")), F.lit(" refs/heads/"), "s_name").alias("value"))
+    peeled = s.filter("s_name = 'Supplier#000000007'").select((F.col("s_suppkey") + 0.5).alias("ordinal"), F.concat(F.lit("^"), F.sha1(F.lit("x").cast("binary"))).alias("value"))
+    ends = spark.range(1).select(F.inline(F.array(F.struct(F.lit(0.0).alias("ordinal"), F.lit("# pack-refs with: peeled fully-peeled sorted").alias("value")), F.struct(F.lit(2147483647.0).alias("ordinal"), F.lit("").alias("value")))))
+    kept = refs.packed_without(line.unionByName(peeled).unionByName(ends), "refs/heads/Supplier#000000007")
+    return kept.select(F.col("ordinal").cast("int").alias("ordinal"), "value")
+
+
+@query("""SELECT doc_id, trim(replace(lang || '\\' || source || '\\a.txt/', '\\', '/'), '/') AS path FROM documents""")
+def relative_paths(spark, d):
+    """Paths below a repository's folder, with slashes of either kind."""
+    root, below = F.lit("C:\\work\\"), F.concat_ws("\\", "lang", "source", F.lit("a.txt/"))
+    return T.table(spark, d, "documents").select("doc_id", O.relative_path(root, F.concat(root, below)).alias("path"))
+
+
+@query("SELECT 'core.bare' AS property, 'false' AS value UNION ALL SELECT 'core.ignorecase', 'false' UNION ALL SELECT 'core.autocrlf', 'input' UNION ALL SELECT 'core.commitgraph', 'true' UNION ALL SELECT 'core.repositoryformatversion', '0' UNION ALL SELECT 'user.name', (SELECT max(n_name) FROM nation) UNION ALL SELECT 'user.email', NULL")
+def config_properties(spark, d):
+    """Known properties: the last value that is set, else the default."""
+    names = T.table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.concat(F.lit("\tname = "), "n_name"))).alias("n"))
+    text = names.select(F.concat(F.lit("[user]\n"), F.array_join("n", "\n"), F.lit("\n[core]\n\tautocrlf = input\n\tbare = false\n[Core \"x\"]\n\tbare = true")).alias("t"))
+    return refs.properties(refs.parse_config(text.select(F.posexplode(F.split("t", "\n")).alias("ordinal", "value"))))
+
+
+@query("""SELECT o_orderkey, 'From ' || repeat('a', 40) || ' ' || strftime(o_orderdate, '%a %b %d %H:%M:%S %Y') || chr(10) || 'From: n' || o_orderkey || ' <e@x>' || chr(10) || 'Date: ' || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || ' +0000' || chr(10) || 'Subject: [PATCH] order' || chr(10) || chr(10) AS header FROM orders""")
+def patch_headers(spark, d):
+    name = F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))
+    return T.table(spark, d, "orders").select("o_orderkey", patch.header(name, F.lit("e@x"), F.unix_timestamp("o_orderdate"), F.lit(0), F.lit("order"), "a" * 40).alias("header"))
+
+
+@query(f"WITH {NEW}, f AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN '100755' WHEN doc_id % 3 = 1 THEN '100644' ELSE '120000' END AS mode FROM new) SELECT path FROM f WHERE mode = '100644'")
+def kind_filter(spark, d):
+    """Plain files only, as a comparison takes them."""
+    f = T.new_snapshot(spark, d).withColumn("mode", F.when(F.col("doc_id") % 3 == 0, "100755").when(F.col("doc_id") % 3 == 1, "100644").otherwise("120000"))
+    return compare.regular(f).select("path")
+
+
+@query("SELECT lpad(CAST(i AS VARCHAR), 6, '0') AS file, 1000 AS chars, 36 AS least FROM range(200) t(i)")
+def benchmark_permutations(spark, d):
+    """Generated files: permutations of the same characters."""
+    made = write.benchmark_files(spark, 200, 1000)
+    a = F.length(F.replace("text", F.lit("a"), F.lit("aa"))) - F.length("text")
+    return made.select(F.regexp_extract("path", "([0-9]+)", 1).alias("file"), F.length("text").alias("chars"), a.alias("least"))
+
+
+@query(f"WITH {NEW} SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM new")
+def zip_export(spark, d):
+    """An archive written as a file and read back: its entries and their bytes."""
+    import io
+    import zipfile
+
+    folder = new_folder(spark, "zips")
+    held = T.new_snapshot(spark, d).select(F.lit("main").alias("root"), "path", "mode", F.col("text").cast("binary").alias("data"))
+    export.zips(held, folder)
+    ship_package(spark)
+
+    def listed(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for raw in batch["content"]:
+                rows = [(x.filename, x.file_size) for x in zipfile.ZipFile(io.BytesIO(bytes(raw))).infolist()]
+                yield pd.DataFrame(rows, columns=["path", "size"])
+
+    entries = repository.one_file(spark, f"{folder}/main.zip").select("content").mapInPandas(listed, "path string, size long")
+    return entries.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only by a local master that names no checkpoint folder (tests).
@@ -45,18 +45,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, **seen_too: Column) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here, and lost executors cost no recomputation.
+
+    Rows are counted while they are written, and aggregates given by name are taken; :func:`seen_in` tells them.
+    """
     path, seen = new_folder(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(x.alias(k) for k, x in seen_too.items())).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to, out._rows = path, seen.get.get("rows")
+    out._written_to, out._seen = path, seen.get
     return out
 
 
+def seen_in(df: DataFrame, name: str = "rows"):
+    """What :func:`written` saw of a DataFrame that it gave."""
+    return df._seen.get(name)
+
+
 def rows_in(df: DataFrame) -> int:
     """How many rows; for what :func:`written` gave without counting again."""
-    known = getattr(df, "_rows", None)
+    known = getattr(df, "_seen", {}).get("rows")
     return df.count() if known is None else known
 
 
