@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import rows_in, seen_in
 from . import common
 
 
@@ -16,9 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     the number of ids, and no id ever gathers its neighbours' list in one row.
     """
     both = lambda x: x.unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sign = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = common.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = sign(edges)
+    sign = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    edges = common.written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", sign=sign)
+    before = rows_in(edges), seen_in(edges, "sign")
     while before[0]:
         # Large star: greater neighbours of u go to the least id around u.
         around = both(edges)
@@ -27,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: smaller neighbours of u, and u itself, go to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        after = common.written(small, "edges")
-        now = sign(after)
+        after = common.written(small, "edges", sign=sign)
+        now = rows_in(after), seen_in(after, "sign")
         common.discard(edges)
         edges, same, before = after, now == before, now
         if same:  # the same set of edges, by count and sum of hashes

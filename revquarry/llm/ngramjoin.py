@@ -286,12 +286,15 @@ def join_groups(docs: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BY
     common.discard(prefixes)
 
     groups: DataFrame | None = None
+    before = met
     for turn in range(top, -1, -1):
         members = _in_mixed_lists(met, groups)
         if not rows_in(members):
             break
         pairs = common.written(_turn(members, turn), "pairs")
-        common.discard(members)
+        # Lists of one group stay so: the next turn starts from those that are still mixed.
+        common.discard(before)
+        met, before = members.drop("label", "main"), members
         tried = rows_in(pairs)
         if tried:
             fit = _overlaps(pairs.select("a", "b"), tried, common_part).join(pairs, ["a", "b"]).filter((NUMERATOR + DENOMINATOR) * F.col("overlap") >= NUMERATOR * F.col("both"))
