@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,16 @@ class Graph:
         self.parents = parent[order]
         self.starts = np.searchsorted(child[order], np.arange(len(self.ids) + 1))
 
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int]]:
+        """Where each commit's parents start, and the parents; made once in a worker, where lists are read faster than arrays."""
+        return self.starts.tolist(), self.parents.tolist()
+
+    def above(self, commits: Iterable[int]) -> Iterator[int]:
+        starts, parents = self.lists
+        for x in commits:
+            yield from parents[starts[x] : starts[x + 1]]
+
     def lookup(self) -> Callable[[Iterable], list[int]]:
         """From ids to numbers; -1 for commits without edges."""
         index = pd.Index(self.ids)
@@ -53,12 +63,12 @@ class Graph:
         """Commits by distance, each level in order of discovery; nothing in ``closed`` is entered."""
         level = [x for x in dict.fromkeys(sources) if x not in closed]
         seen = {*closed, *level}
-        starts, parents = self.starts, self.parents
+        starts, parents = self.lists
         while level:
             yield level
             further = []
             for x in level:
-                for y in parents[starts[x] : starts[x + 1]].tolist():
+                for y in parents[starts[x] : starts[x + 1]]:
                     if y not in seen:
                         seen.add(y)
                         further.append(y)
@@ -265,9 +275,9 @@ def _common(graph: Broadcast, pairs: DataFrame) -> DataFrame:
                 if i >= 0 and j >= 0:
                     of_a = g.reach([i])
                     of_b = {j} if j in of_a else {k for level in g.levels([j], of_a) for k in level}
-                    border = {j} if j in of_a else {k for n in of_b for k in g.parents[g.starts[n] : g.starts[n + 1]].tolist() if k in of_a}
+                    border = {j} if j in of_a else {k for k in g.above(of_b) if k in of_a}
                     # Of those on the border, what another one reaches isn't best.
-                    behind = g.reach(k for n in border for k in g.parents[g.starts[n] : g.starts[n + 1]].tolist()) if len(border) > 1 else set()
+                    behind = g.reach(g.above(border)) if len(border) > 1 else set()
                     best = ids[sorted(border - behind)].tolist()
                 out[0] += [pair] * len(best)
                 out[1] += best
