@@ -211,12 +211,12 @@ def staging_rows(spark, d):
     return repository.staging(spark, folder).select("ordinal", "path", "oid", "type", "perms", "size", "stage")
 
 
-@query("""WITH RECURSIVE h AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey > 0 AND o_orderkey <= 8191), e AS (SELECT k AS child, k // 2 AS parent FROM h WHERE k >= 2 UNION ALL SELECT k, k // 3 FROM h WHERE k >= 3 AND k % 5 = 0),
+@query("""WITH RECURSIVE h AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey > 0), e AS (SELECT k AS child, k // 2 AS parent FROM h WHERE k >= 2 UNION ALL SELECT k, k // 3 FROM h WHERE k >= 3 AND k % 5 = 0),
 t AS (SELECT child, parent FROM e WHERE parent IN (SELECT k FROM h)), w(k, n) AS (SELECT k, 1 FROM h UNION SELECT t.child, n + 1 FROM w JOIN t ON t.parent = w.k)
 SELECT sha1(CAST(k AS VARCHAR)) AS oid, CAST(1700000000 + k AS BIGINT) AS commit_time, CAST(max(n) AS BIGINT) AS generation, (SELECT count(*) FROM t WHERE child = w.k) AS parents FROM w GROUP BY k""")
 def commit_graph_rows(spark, d):
-    """A commit graph of a history with merges: parents, times and generations. One file, so a bounded history."""
-    k = T.table(spark, d, "orders").filter("o_orderkey > 0 and o_orderkey <= 8191").select(F.col("o_orderkey").alias("k")).distinct()
+    """A commit graph of a history with merges: parents, times and generations. One file, as a repository has it."""
+    k = T.table(spark, d, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("k")).distinct()
     known = {r["k"] for r in k.collect()}
     name = lambda x: formats.hashlib.sha1(str(x).encode()).hexdigest()
     rows = [{"oid": name(x), "tree": name(-x), "parents": [name(p) for p in ([x // 2] if x >= 2 else []) + ([x // 3] if x >= 3 and x % 5 == 0 else []) if p in known], "commit_time": 1_700_000_000 + x} for x in known]
