@@ -46,11 +46,16 @@ def json_provider(path_pattern: str, wanted: dict[str, str], **fields: str) -> P
     return provide
 
 
-def text_provider(path_pattern: str, text: str, first: int = 1024) -> Provider:
-    """Files at matching paths with ``text``, in either case, among the first bytes."""
-    # Bytes as characters of one byte each: a cut may fall inside a character.
-    raw = lambda c: F.encode(F.lower(c), "utf-8")
-    head, wanted = F.decode(F.substring(raw(F.col("text")), 1, first), "iso-8859-1"), F.decode(raw(F.lit(text)), "iso-8859-1")
+def text_provider(path_pattern: str, text: str, first: int = 1024, characters: bool = False) -> Provider:
+    """Files at matching paths with ``text``, in either case, among the first bytes, or the first characters."""
+    if characters:
+        # The one letter whose lower form is two characters to Spark counts as the plain one.
+        lower = lambda c: F.lower(F.translate(c, "\u0130", "i"))
+        head, wanted = lower(F.substring("text", 1, first)), lower(F.lit(text))
+    else:
+        # Bytes as characters of one byte each: a cut may fall inside a character.
+        raw = lambda c: F.encode(F.lower(c), "utf-8")
+        head, wanted = F.decode(F.substring(raw(F.col("text")), 1, first), "iso-8859-1"), F.decode(raw(F.lit(text)), "iso-8859-1")
     return lambda blobs: blobs.filter(F.col("path").rlike(path_pattern) & F.contains(head, wanted)).select("oid")
 
 
