@@ -37,3 +37,34 @@ def test_training_data_of_more_than_a_year(against_sql, name):
     rows = [(0, turn, "user", f"text {turn // 2}") for turn in (0, 1, 2, 3, 40_000_000, 40_000_001, 40_000_002)]
     got, want = against_sql(name, conversations=(rows, "conv_id long, turn long, role string, text string"))
     assert got == want
+
+
+def test_similar_meets_blocks_by_matrices(spark):
+    """Copies, ties, odd lengths and components, over several blocks; no pair is scored row by row."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from revquarry.operators import search
+
+    rng = random.Random(3)
+    some = [[rng.choice((-1.0, 0.5, 2.0)) for _ in range(4)] for _ in range(30)]
+    rows = [(i, some[rng.randrange(30)]) for i in range(300)]
+    rows += [(300, None), (301, [0.0] * 4), (302, [1.0, None, 1.0, 1.0]), (303, [1e200, 1.0, 1.0, 1.0]), (304, [math.nan, 1.0, 1.0, 1.0]), (305, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.filter("vec_id % 25 = 0 or vec_id > 300")
+
+    def plainly(k):
+        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        x = v.select(F.col("vec_id"), F.col("embedding").alias("v"), norm("embedding").alias("n")).filter("n > 0")
+        y = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("m")).filter("m > 0")
+        dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        found: dict = {}
+        for r in x.join(y, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.col("n") * F.col("m")), 9).alias("c")).collect():
+            found.setdefault(r.query_id, []).append((1 if r.c is None else 0, -math.inf if r.c is not None and math.isnan(r.c) else -(r.c or 0.0), r.vec_id))
+        return sorted((q, i + 1, x[2]) for q, xs in found.items() for i, x in enumerate(sorted(xs)[:k]))
+
+    got = search.similar(v, asked, 7, block_queries=5, block_vectors=64)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == plainly(7)
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().toString()) and "CoGroup" in plan
