@@ -2,8 +2,10 @@
 
 ``parent_no`` counts from 0. A graph of at most GRAPH_EDGES edges, as nearly every repository's is, is numbered once and
 sent to all workers, where each starting point is walked by itself, in memory. Larger ones are walked for all starting
-points together: chains of first parents by pointer doubling, everything else by level, one join a level. Both ways
-give the same rows.
+points together: chains of first parents by pointer doubling, everything else by level, one join a level. Ancestors and
+merge bases, which need no order, are found up to ARRAY_EDGES edges by arrays where ids are integers: one task numbers
+the graph and writes it to the shared folder, and every worker reads it and walks thousands of starting points at once.
+All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,15 +17,21 @@ from functools import cached_property, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import IntegerType, IntegralType, LongType, StructType
 
-from ..session import discard, partitions, rows_in, ship_package, written
+from ..session import discard, new_folder, partitions, rows_in, ship_package, written
 
 #: Edges that are broadcast at most, counted before; about 100 MB of 40-digit ids in a worker.
 GRAPH_EDGES = 1_000_000
+#: Edges that a worker holds as arrays at most: 4 bytes an edge and 12 a commit; the task that numbers them takes 50 an edge.
+ARRAY_EDGES = 16_000_000
+#: Starting points that are walked at once there.
+WALKED_TOGETHER = 4096
 #: Levels after which the visited rows are written together.
 COMPACTED_EVERY = 16
 
@@ -171,6 +179,157 @@ def _by_level(edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], Da
     return union()
 
 
+class Arrays:
+    """Commits with integers as ids, by number, as arrays in files that all workers read."""
+
+    #: What this worker has read, by folder: the last only.
+    read: dict[str, Arrays] = {}
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, parents: np.ndarray):
+        self.ids, self.starts, self.parents = ids, starts, parents
+
+    @staticmethod
+    def at(folder: str) -> Arrays:
+        if folder not in Arrays.read:
+            Arrays.read.clear()
+            store, root = pyarrow.fs.FileSystem.from_uri(folder)
+            parts = []
+            for name, kind in (("ids", np.int64), ("starts", np.int32), ("parents", np.int32)):
+                with store.open_input_file(f"{root}/{name}") as f:
+                    parts.append(np.frombuffer(f.read_buffer(), dtype=kind))
+            Arrays.read[folder] = Arrays(*parts)
+        return Arrays.read[folder]
+
+    @staticmethod
+    def write(folder: str, child: np.ndarray, parent: np.ndarray) -> None:
+        ids = np.unique(np.concatenate([child, parent]))
+        number = lambda x: np.searchsorted(ids, x).astype(np.int32)
+        parent, child = number(parent), number(child)
+        order = np.argsort(child, kind="stable")
+        starts = np.searchsorted(child[order], np.arange(len(ids) + 1, dtype=np.int32)).astype(np.int32)
+        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        for name, x in (("ids", ids), ("starts", starts), ("parents", parent[order])):
+            with store.open_output_stream(f"{root}/{name}") as f:
+                f.write(np.ascontiguousarray(x).data)
+
+    def numbers(self, oids: np.ndarray) -> np.ndarray:
+        """-1 for commits without edges."""
+        if not len(self.ids):
+            return np.full(len(oids), -1)
+        at = np.minimum(np.searchsorted(self.ids, oids), len(self.ids) - 1)
+        return np.where(self.ids[at] == oids, at, -1)
+
+    def above(self, keys: np.ndarray) -> np.ndarray:
+        """The parents' keys; a key is a starting point's place times the number of commits, and the commit's number."""
+        place, node = np.divmod(keys, len(self.ids))
+        first = self.starts[node].astype(np.int64)
+        n = self.starts[node + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(place * len(self.ids), n) + self.parents[at]
+
+    def reach(self, keys: np.ndarray) -> np.ndarray:
+        """Keys of all that the starting points reach, themselves included, ascending."""
+        level = seen = _distinct(keys)
+        while len(level):
+            level = _without(_distinct(self.above(level)), seen)
+            seen = np.concatenate([seen, level])
+            seen.sort(kind="stable")  # two ascending runs
+        return seen
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _without(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of ascending keys those that aren't among other ascending ones."""
+    if not len(others):
+        return keys
+    at = np.minimum(np.searchsorted(others, keys), len(others) - 1)
+    return keys[others[at] != keys]
+
+
+def _arrays(edges: DataFrame) -> str | None:
+    """The folder of the graph's arrays, if its ids are integers and it is small enough, but not for :func:`_graph`."""
+    if not all(isinstance(edges.schema[c].dataType, IntegralType) for c in ("child", "parent")):
+        return None
+    spark = edges.sparkSession
+    edges = written(edges.select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")).filter("child is not null and parent is not null"), "edges")
+    if not GRAPH_EDGES < rows_in(edges) <= ARRAY_EDGES:
+        discard(edges)
+        return None
+    ship_package(spark)
+    folder = new_folder(spark, "graph")
+
+    def run(batches):
+        sides = [(batch["child"].to_numpy(), batch["parent"].to_numpy()) for batch in batches if len(batch)]
+        child, parent = (np.concatenate(x) for x in zip(*sides, strict=True))
+        sides.clear()
+        Arrays.write(folder, child, parent)
+        yield pa.RecordBatch.from_arrays([pa.array([len(child)])], names=["n"])
+
+    edges.coalesce(1).mapInArrow(run, "n long").collect()
+    discard(edges)
+    return folder
+
+
+def _whole(oids: pa.Array) -> np.ndarray:
+    """Ids as numbers; what is null has no meaning."""
+    return pc.fill_null(oids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+
+
+def _reached(folder: str, starts: DataFrame) -> DataFrame:
+    """``start, oid``: what each start reaches, itself included."""
+    lists = _by_start(starts.select("start", "oid"))
+    kind = lists.schema["oids"].dataType.elementType
+    schema = StructType().add("start", lists.schema["start"].dataType).add("oid", kind)
+
+    def run(batches):
+        g = Arrays.at(folder)
+        n = max(1, len(g.ids))
+        for batch in (x.slice(i, WALKED_TOGETHER) for x in batches for i in range(0, len(x), WALKED_TOGETHER)):
+            oids, start = pc.list_flatten(batch["oids"]), batch["start"]
+            of = pc.list_parent_indices(batch["oids"]).to_numpy().astype(np.int64)
+            code = g.numbers(_whole(oids))
+            known = (code >= 0) & oids.is_valid().to_numpy(zero_copy_only=False)
+            place, node = np.divmod(g.reach(of[known] * n + code[known]), n)
+            kinds = [start.type, oids.type]
+            if not known.all():
+                alone = pa.RecordBatch.from_arrays([start.take(pa.array(of[~known])), oids.filter(pa.array(~known))], names=["start", "oid"])
+                yield from pa.Table.from_batches([alone]).group_by(["start", "oid"]).aggregate([]).to_batches()
+            yield pa.RecordBatch.from_arrays([start.take(pa.array(place)), pa.array(g.ids[node]).cast(kinds[1])], names=["start", "oid"])
+
+    return lists.repartition(partitions(lists.sparkSession), "start").mapInArrow(run, schema)
+
+
+def _best(folder: str, pairs: DataFrame) -> DataFrame:
+    """As :func:`_common`: what both reach, less the parents of that."""
+    pairs = pairs.select("pair", "a", "b")
+    schema = StructType().add("pair", pairs.schema["pair"].dataType).add("oid", pairs.schema["a"].dataType)
+
+    def run(batches):
+        g = Arrays.at(folder)
+        n = max(1, len(g.ids))
+        for batch in (x.slice(i, WALKED_TOGETHER) for x in batches for i in range(0, len(x), WALKED_TOGETHER)):
+            pair, a, b = batch["pair"], batch["a"], batch["b"]
+            valid = pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
+            x, y = _whole(a), _whole(b)
+            i, j = g.numbers(x), g.numbers(y)
+            place = np.arange(len(batch), dtype=np.int64) * n
+            known = valid & (i >= 0) & (j >= 0)
+            both = np.concatenate([g.reach(place[known] + i[known]), g.reach(place[known] + j[known])])
+            both.sort(kind="stable")
+            both = both[1:][both[1:] == both[:-1]]
+            at, node = np.divmod(_without(both, _distinct(g.above(both))), n)
+            alone = np.flatnonzero(valid & ~known & (x == y))
+            rows, oids = np.concatenate([at, alone]), np.concatenate([g.ids[node], x[alone]])
+            yield pa.RecordBatch.from_arrays([pair.take(pa.array(rows)), pa.array(oids).cast(a.type)], names=["pair", "oid"])
+
+    return pairs.repartition(partitions(pairs.sparkSession), "pair").mapInArrow(run, schema)
+
+
 def log(edges: DataFrame, starts: DataFrame, first_parent: bool = False, times: DataFrame | None = None, stops: DataFrame | None = None, since=None, until=None, prune: bool = False, topological: bool = False) -> DataFrame:
     """``start, oid, level, seq`` of what each start reaches, itself included, in breadth-first order of discovery.
 
@@ -239,6 +398,9 @@ def first_parent_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, oid``: everything reachable, the start itself included."""
+    folder = _arrays(edges) if isinstance(starts.schema["oid"].dataType, IntegralType) else None
+    if folder is not None:
+        return _reached(folder, starts)
     return log(edges, starts).select("start", "oid")
 
 
@@ -247,6 +409,9 @@ def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Criss-cross histories have several; :func:`merge_base` picks one.
     """
+    folder = _arrays(edges) if all(isinstance(pairs.schema[c].dataType, IntegralType) for c in ("a", "b")) else None
+    if folder is not None:
+        return _best(folder, pairs)
     graph = _graph(edges)
     if graph is not None:
         return _common(graph, pairs)

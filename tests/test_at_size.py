@@ -68,3 +68,30 @@ def test_similar_meets_blocks_by_matrices(spark):
     got = search.similar(v, asked, 7, block_queries=5, block_vectors=64)
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == plainly(7)
     assert "NestedLoop" not in (plan := got._jdf.queryExecution().toString()) and "CoGroup" in plan
+
+
+@pytest.mark.parametrize("arrays", [0, 10_000])
+def test_ancestors_and_merge_bases_of_larger_graphs(spark, monkeypatch, arrays):
+    """By arrays, and by joins beyond those, as brute force has them; starts without edges, repeated, null and with several commits."""
+    import random
+
+    from revquarry.operators import dag
+    from test_dag import breadth_first, edges_of, history
+
+    monkeypatch.setattr(dag, "GRAPH_EDGES", 10)
+    monkeypatch.setattr(dag, "ARRAY_EDGES", arrays)
+    monkeypatch.setattr(dag, "WALKED_TOGETHER", 7)
+    rng, parents = random.Random(4), history(11)
+    edges, rows = edges_of(spark, parents), [(k, k) for k in range(0, 120, 3)] + [(1, 5), (1, 90), (2, 777), *[(1, 90)] * (arrays > 0)]
+    reach = lambda k: {x for x, _ in breadth_first(parents, k)} if k in parents else {k}
+    got = dag.ancestors(edges, spark.createDataFrame(rows, "start long, oid long"))
+    assert sorted((r.start, r.oid) for r in got.collect()) == sorted({(s, x) for s, o in rows for x in reach(o)})
+    assert arrays == 0 or "MapInArrow" in got._jdf.queryExecution().toString()
+    pairs = [(f"p{i}", rng.randrange(120), rng.randrange(120)) for i in range(60)] + [("q", 7, 7), ("r", 500, 500), ("s", 500, 3), ("t", None, 3)]
+    want = set()
+    for i, a, b in pairs:
+        both = reach(a) & reach(b) if a is not None else set()
+        want |= {(i, x) for x in both if not any(x in reach(y) - {y} for y in both)}
+    best = dag.merge_bases(edges, spark.createDataFrame(pairs, "pair string, a long, b long"))
+    assert sorted((r.pair, r.oid) for r in best.collect()) == sorted(want)
+    assert (dag._arrays(edges) is not None) == (arrays > 0)
