@@ -489,3 +489,95 @@ def follow(edges: DataFrame, at: DataFrame, steps: list[tuple[str, int]]) -> Dat
         for no in hops:
             at = at.join(edges.filter(F.col("parent_no") == no).select(F.col("child").alias("oid"), "parent"), "oid").select("start", F.col("parent").alias("oid"))
     return at
+
+
+def generations(links: DataFrame, n: int) -> DataFrame:
+    """``commit, generation`` of the commits 0 to ``n`` - 1 from ``child, parent``: 1 at the roots, else one above the highest of the parents.
+
+    Up to ARRAY_EDGES commits and links by one task's arrays, beyond that one join a level.
+    """
+    spark, size = links.sparkSession, rows_in(links)
+    links = links.select("child", "parent")
+    if max(n, size) > ARRAY_EDGES:
+        return _generations_by_level(written(links, "links"), n)
+    if not size:
+        return spark.range(n).select(F.col("id").alias("commit"), F.lit(1).cast("long").alias("generation"))
+    ship_package(spark)
+
+    def run(batches):
+        found = _generations([(batch["child"].to_numpy(), batch["parent"].to_numpy()) for batch in batches], n)
+        for i in range(0, n, 100_000):
+            part = found[i : i + 100_000].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part)], names=["commit", "generation"])
+
+    return written(links.select(F.col("child").cast("int"), F.col("parent").cast("int")).coalesce(1).mapInArrow(run, "commit long, generation long"), "generations")
+
+
+def _generations(sides: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """As :func:`generations`, from children and parents of links in 32 bits; what isn't needed any more goes at once, ``sides`` too."""
+    child, parent = (np.concatenate(x) for x in zip(*sides, strict=True))
+    sides.clear()
+    links = parent.astype(np.int64)
+    links <<= 32
+    links |= child
+    links.sort()
+    waiting, starts = np.bincount(child, minlength=n).astype(np.int32), np.zeros(n + 1, np.int64)
+    del child
+    starts[1:] = np.bincount(parent, minlength=n)
+    del parent
+    np.cumsum(starts, out=starts)
+    links &= 0xFFFFFFFF
+    below = links.astype(np.int32)
+    del links
+    out = np.zeros(n, np.int32)
+    # Long chains have levels of a few commits: those go through Python's own numbers, which are faster there.
+    one_below, one_start, one_waiting, one_out = (memoryview(x) for x in (below, starts, waiting, out))
+    level, number, done = np.flatnonzero(waiting == 0), 0, 0
+    while len(level):
+        number, done = number + 1, done + len(level)
+        if len(level) > 64:
+            level = np.asarray(level)
+            out[level] = number
+            first = starts[level]
+            size = starts[level + 1] - first
+            reached, times = np.unique(below[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())], return_counts=True)
+            waiting[reached] -= times.astype(np.int32)
+            level = reached[waiting[reached] == 0]
+        else:
+            further = []
+            for x in level if isinstance(level, list) else level.tolist():
+                one_out[x] = number
+                for i in range(one_start[x], one_start[x + 1]):
+                    y = one_below[i]
+                    one_waiting[y] -= 1
+                    if not one_waiting[y]:
+                        further.append(y)
+            level = further
+    if done < n:
+        raise ValueError("commits are their own ancestors")
+    return out
+
+
+def _generations_by_level(left: DataFrame, n: int) -> DataFrame:
+    spark = left.sparkSession
+    level, whole = 1, None
+    known = written(spark.range(n).select(F.col("id").alias("commit")).join(left.select(F.col("child").alias("commit")), "commit", "left_anti").withColumn("generation", F.lit(1).cast("long")), "level")
+    parts = [known]
+    union = lambda: reduce(DataFrame.unionByName, [*([] if whole is None else [whole]), *parts])
+    while rows_in(left):
+        level += 1
+        rest = written(left.join(known.select(F.col("commit").alias("parent")), "parent", "left_anti").select("child", "parent"), "links")
+        free = left.select(F.col("child").alias("commit")).distinct().join(rest.select(F.col("child").alias("commit")), "commit", "left_anti")
+        known = written(free.withColumn("generation", F.lit(level).cast("long")), "level")
+        if rows_in(rest) == rows_in(left):
+            raise ValueError("commits are their own ancestors")
+        discard(left)
+        left = rest
+        parts.append(known)
+        if len(parts) > COMPACTED_EVERY:
+            # The last level's own file stays: the next one still reads it.
+            merged = written(union(), "generations")
+            for x in [*([] if whole is None else [whole]), *parts[:-1]]:
+                discard(x)
+            whole, parts = merged, []
+    return union()

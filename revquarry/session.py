@@ -72,9 +72,12 @@ def discard(df: DataFrame) -> None:
     """Delete what :func:`written` wrote, once nothing reads it any more."""
     path = getattr(df, "_written_to", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        discard_folder(df.sparkSession, path)
+
+
+def discard_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -88,5 +91,4 @@ def ship_package(spark: SparkSession) -> None:
 
 def clean(spark: SparkSession) -> None:
     """Delete all that this application wrote to the shared folder; DataFrames that read it are of no use afterwards."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    discard_folder(spark, f"{workspace(spark)}/{spark.sparkContext.applicationId}")

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import objects as O
 from ..operators import delta, refs
-from ..session import rows_in, ship_package, written
+from ..session import discard_folder, new_folder, rows_in, ship_package, written
 from . import formats
 
+GRAPH = "oid string, tree string, parents array<string>, commit_time long, generation long"
+#: Commits of a commit graph that one task makes or reads at most; larger ones go by parts, of so many commits or extra edges.
+GRAPH_WHOLE, GRAPH_PART = 200_000, 65_536
 OBJECTS = "oid string, kind string, size long, data binary, storage string, pack string, offset long"
 
 
@@ -55,13 +61,56 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
-    """Write a small file beside its place, then put it there; a reader sees the old bytes or the new."""
+    """Write a small file."""
+    _write(spark, path, lambda out: out.write(bytearray(raw)))
+
+
+def write_joined(spark: SparkSession, path: str, head: bytes, parts: Iterable[str]) -> None:
+    """Write ``head``, the files ``parts`` in order and the SHA-1 of it all; the bytes flow through the driver, which holds a buffer of them."""
+    jvm = spark._jvm
+
+    def fill(out):
+        digest = jvm.java.security.MessageDigest.getInstance("SHA-1")
+        both = jvm.java.security.DigestOutputStream(out, digest)
+        both.write(bytearray(head))
+        for part in parts:
+            at, store = _at(spark, part)
+            source = store.open(at)
+            try:
+                jvm.org.apache.commons.io.IOUtils.copyLarge(source, both)
+            finally:
+                source.close()
+        both.flush()
+        out.write(digest.digest())
+
+    _write(spark, path, fill)
+
+
+def write_ranges(spark: SparkSession, path: str, other: str, ranges: list[tuple[int, int]]) -> None:
+    """Write another file's ranges (start, length); they flow through the driver as well."""
+    at, store = _at(spark, other)
+    source = store.open(at)
+
+    def fill(out):
+        for start, length in ranges:
+            source.seek(start)
+            if spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, length) != length:
+                raise ValueError(f"{other} is cut off")
+
+    try:
+        _write(spark, path, fill)
+    finally:
+        source.close()
+
+
+def _write(spark: SparkSession, path: str, fill: Callable) -> None:
+    """Fill a file beside its place, then put it there; a reader sees the old bytes or the new."""
     at, store = _at(spark, path)
     part, _ = _at(spark, f"{path}.new")
     store.mkdirs(at.getParent())
     out = store.create(part, True)
     try:
-        out.write(bytearray(raw))
+        fill(out)
     finally:
         out.close()
     # Not every store replaces a file by renaming.
@@ -157,25 +206,111 @@ def pack_index(spark: SparkSession, git_dir: str) -> DataFrame:
 
 
 def commit_graph(spark: SparkSession, git_dir: str) -> DataFrame:
-    """``oid, tree, parents, commit_time, generation`` from the graph file or its chain; no rows where there is none.
-
-    A chain's files refer to those below by position, so one task reads a chain.
-    """
-    schema = "oid string, tree string, parents array<string>, commit_time long, generation long"
-    whole = decoded(one_file(spark, f"{git_dir}/objects/info/commit-graph"), lambda _, raw: formats.commit_graph(raw), schema)
-    chain = files(spark, f"{git_dir}/objects/info/commit-graphs", "(commit-graph-chain|graph-[0-9a-f]{40}[.]graph)$")
-
-    def read_chain(batches):
-        found = {}
-        for batch in batches:
-            found |= {p.rsplit("/", 1)[-1]: bytes(c) for p, c in zip(batch["path"], batch["content"], strict=True)}
+    """``oid, tree, parents, commit_time, generation`` from the graph file or its chain; no rows where there is none."""
+    info = f"{git_dir}/objects/info"
+    chain = f"{info}/commit-graphs/commit-graph-chain"
+    single = [f"{info}/commit-graph"] if exists(spark, f"{info}/commit-graph") else []
+    several = [f"{info}/commit-graphs/graph-{x}.graph" for x in text_of(spark, chain).split()] if exists(spark, chain) else []
+    found = [_graph(spark, paths) for paths in (single, several) if paths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], GRAPH)
+
+
+def _graph(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files of a chain, which refer to those below by position: by one task where they are small, else by parts."""
+    chunks, sizes = [], []
+    for path in paths:
+        at, store = _at(spark, path)
+        source = store.open(at)
+        try:
+            head = bytes(source.readNBytes(8))
+            chunks.append(formats.graph_chunks(head + bytes(source.readNBytes(12 * (head[6] + 1)))))
+            source.seek(chunks[-1][b"OIDF"][0] + 255 * 4)
+            sizes.append(source.readInt())
+        finally:
+            source.close()
+    if sum(sizes) > GRAPH_WHOLE:
+        return _graph_by_parts(spark, paths, chunks, sizes)
+    ship_package(spark)
+    names = [x.rsplit("/", 1)[-1] for x in paths]
+
+    def read(batches):
+        found = {p.rsplit("/", 1)[-1]: bytes(c) for batch in batches for p, c in zip(batch["path"], batch["content"], strict=True)}
         earlier: list[str] = []
-        for line in found.get("commit-graph-chain", b"").decode().split():
-            rows = formats.commit_graph(found[f"graph-{line}.graph"], earlier)
+        for name in names:
+            rows = formats.commit_graph(found[name], earlier)
             earlier += [x["oid"] for x in rows]
             yield pd.DataFrame(rows, columns=["oid", "tree", "parents", "commit_time", "generation"])
 
-    return whole.unionByName(chain.coalesce(1).mapInPandas(read_chain, schema))
+    return spark.read.format("binaryFile").load(paths).select("path", "content").coalesce(1).mapInPandas(read, GRAPH)
+
+
+def _graph_by_parts(spark: SparkSession, paths: list[str], chunks: list[dict], sizes: list[int]) -> DataFrame:
+    """The driver copies ranges of the files into files of their own, without holding them; tasks read those, and positions become ids by a join."""
+    folder = new_folder(spark, "graph")
+    first, first_edge = 0, 0
+    for path, at, n in zip(paths, chunks, sizes, strict=True):
+        for i in range(0, n, GRAPH_PART):
+            k = min(GRAPH_PART, n - i)
+            write_ranges(spark, f"{folder}/commits/{first + i}-{first_edge}", path, [(at[b"OIDL"][0] + 20 * i, 20 * k), (at[b"CDAT"][0] + 36 * i, 36 * k)])
+        first += n
+        if b"EDGE" in at:
+            start, end = at[b"EDGE"]
+            for i, k in _edge_parts(spark, path, start, (end - start) // 4):
+                write_ranges(spark, f"{folder}/edges/{first_edge + i}", path, [(start + 4 * i, 4 * k)])
+            first_edge += (end - start) // 4
+    ship_package(spark)
+
+    def commits(batches):
+        for path, raw in ((p.as_py(), x.as_py()) for batch in batches for p, x in zip(batch["path"], batch["content"], strict=True)):
+            place, edge = (int(x) for x in path.rsplit("/", 1)[-1].split("-"))
+            n = len(raw) // 56
+            rows = np.frombuffer(raw, formats.GRAPH_ROW, offset=20 * n)
+            a, b, high = (rows[c].astype(np.int64) for c in ("first", "second", "high"))
+            more = (b & formats.EXTRA_PARENTS) > 0
+            ids = lambda x: pa.Array.from_buffers(pa.binary(20), n, [None, pa.py_buffer(x)]).cast(pa.binary())  # noqa: B023, E731
+            number = lambda x, there: pa.array(x, mask=~there)
+            columns = [pa.array(np.arange(place, place + n)), ids(raw[: 20 * n]), ids(rows["tree"].tobytes()), number(a, a != formats.NO_PARENT), number(b, ~more & (b != formats.NO_PARENT)), number(edge + (b & ~formats.EXTRA_PARENTS), more), pa.array((high & 3) << 32 | rows["low"].astype(np.int64)), pa.array(high >> 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["position", "oid", "tree", "first", "second", "edge", "commit_time", "generation"])
+
+    def edges(batches):
+        for path, raw in ((p.as_py(), x.as_py()) for batch in batches for p, x in zip(batch["path"], batch["content"], strict=True)):
+            x = np.frombuffer(raw, ">u4").astype(np.int64)
+            at = np.arange(len(x)) + int(path.rsplit("/", 1)[-1])
+            last = at[(x & formats.EXTRA_PARENTS) > 0]
+            k = np.searchsorted(last, at)
+            yield pa.RecordBatch.from_arrays([pa.array(y[k < len(last)]) for y in (at, last[np.minimum(k, len(last) - 1)] if len(last) else at, x & ~formats.EXTRA_PARENTS)], names=["edge", "last", "parent"])
+
+    read = lambda x: spark.read.format("binaryFile").load(f"{folder}/{x}").select("path", "content")
+    nodes = written(read("commits").mapInArrow(commits, "position long, oid binary, tree binary, first long, second long, edge long, commit_time long, generation long"), "commits")
+    links = nodes.select(F.col("position").alias("child"), F.posexplode(F.array("first", "second")).alias("parent_no", "parent")).filter("parent is not null")
+    if first_edge:
+        extra = written(read("edges").mapInArrow(edges, "edge long, last long, parent long"), "edges")
+        # A list goes from the edge that the commit names to the next one marked as last.
+        lists = nodes.filter("edge is not null").select(F.col("position").alias("child"), F.col("edge").alias("opens")).join(extra.select(F.col("edge").alias("opens"), "last"), "opens", "left")
+        lists = lists.withColumn("last", F.when(F.col("last").isNull(), F.raise_error(F.lit("a commit graph's extra edges are cut off")).cast("long")).otherwise(F.col("last")))
+        links = links.unionByName(lists.join(extra, "last").filter("edge >= opens").select("child", (F.col("edge") - F.col("opens") + 1).cast("int").alias("parent_no"), "parent"))
+    discard_folder(spark, folder)
+    named = links.join(nodes.select(F.col("position").alias("parent"), F.col("oid").alias("parent_oid")), "parent", "left")
+    name = F.when(F.col("parent_oid").isNull(), F.raise_error(F.lit("a commit graph lacks a parent")).cast("string")).otherwise(F.lower(F.hex("parent_oid")))
+    parents = named.groupBy(F.col("child").alias("position")).agg(F.sort_array(F.collect_list(F.struct("parent_no", name.alias("oid"))))["oid"].alias("parents"))
+    whole = nodes.join(parents, "position", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    return whole.select(F.lower(F.hex("oid")).alias("oid"), F.lower(F.hex("tree")).alias("tree"), "parents", "commit_time", "generation")
+
+
+def _edge_parts(spark: SparkSession, path: str, start: int, n: int) -> Iterable[tuple[int, int]]:
+    """``n`` extra edges as (first, length) of parts that end where a list of edges does."""
+    at, store = _at(spark, path)
+    source, first = store.open(at), 0
+    try:
+        while first < n:
+            end = min(n, first + GRAPH_PART)
+            source.seek(start + 4 * (end - 1))
+            while source.readInt() >= 0 and end < n:  # the mark is the sign
+                end += 1
+            yield first, end - first
+            first = end
+    finally:
+        source.close()
 
 
 def staging(spark: SparkSession, git_dir: str) -> DataFrame:

@@ -95,3 +95,89 @@ def test_ancestors_and_merge_bases_of_larger_graphs(spark, monkeypatch, arrays):
     best = dag.merge_bases(edges, spark.createDataFrame(pairs, "pair string, a long, b long"))
     assert sorted((r.pair, r.oid) for r in best.collect()) == sorted(want)
     assert (dag._arrays(edges) is not None) == (arrays > 0)
+
+
+@pytest.mark.parametrize("arrays", [0, 10_000])
+def test_commit_graph_by_parts(spark, monkeypatch, tmp_path, arrays):
+    """As git has it, written and read: merges of many, lists of edges over several parts, chains, equal to one task's rows."""
+    from revquarry.operators import dag
+    from revquarry.sources import export, formats, repository
+    from test_repo import commit, git
+
+    git(tmp_path, "init", "-q")
+    oids = [commit(tmp_path, "one", a_txt="1")]
+    tree = git(tmp_path, "rev-parse", "HEAD^{tree}")
+    for k, parents in enumerate([[0], [0], [0], [], [1, 2], [1, 2, 3, 4], [6, 5, 4, 3, 2, 1, 0], [7], [8], [9, 7, 3], [10, 0, 4, 6]]):
+        oids.append(git(tmp_path, "commit-tree", tree, *[x for p in parents for x in ("-p", oids[p])], "-m", f"c{k}"))
+    rows = [(o, tree, git(tmp_path, "log", "-1", "--format=%P", o).split(), int(git(tmp_path, "log", "-1", "--format=%ct", o))) for o in oids]
+    monkeypatch.setattr(repository, "GRAPH_WHOLE", 3)
+    monkeypatch.setattr(repository, "GRAPH_PART", 3)
+    monkeypatch.setattr(dag, "ARRAY_EDGES", arrays)
+    monkeypatch.setattr(dag, "COMPACTED_EVERY", 2)
+    at = tmp_path / ".git/objects/info/commit-graph"
+    export.commit_graph(spark.createDataFrame(rows, "oid string, tree string, parents array<string>, commit_time long"), str(tmp_path / ".git"))
+    assert at.read_bytes()[-20:] == formats.hashlib.sha1(at.read_bytes()[:-20]).digest()
+    git(tmp_path, "commit-graph", "verify")
+    plain = formats.write_commit_graph([dict(zip(("oid", "tree", "parents", "commit_time"), r, strict=True)) for r in rows])
+    assert at.read_bytes() == plain
+    listed = lambda: sorted(tuple(r) for r in repository.commit_graph(spark, str(tmp_path / ".git")).select("oid", "tree", "parents", "commit_time", "generation").collect())
+    assert listed() == sorted((*r.values(),) for r in formats.commit_graph(plain))
+    generations = {r[0]: r[4] for r in listed()}
+    at.unlink()
+    for upto in (5, 8, 12):
+        git(tmp_path, "commit-graph", "write", "--stdin-commits", "--split=no-merge", data="\n".join(oids[:upto]).encode())
+    assert len((tmp_path / ".git/objects/info/commit-graphs/commit-graph-chain").read_text().split()) == 3
+    assert listed() == sorted((*r, generations[r[0]]) for r in rows)
+
+
+def test_commit_graph_refuses_what_it_cannot_hold(spark, monkeypatch, tmp_path):
+    from revquarry.operators import dag
+    from revquarry.sources import export, repository
+
+    monkeypatch.setattr(repository, "GRAPH_WHOLE", 1)
+    monkeypatch.setattr(repository, "GRAPH_PART", 1)
+    oid = lambda k: f"{k:040x}"
+
+    def write(*rows):
+        export.commit_graph(spark.createDataFrame([(oid(k), oid(0), [oid(p) for p in parents], time) for k, parents, time in rows], "oid string, tree string, parents array<string>, commit_time long"), str(tmp_path))
+
+    for time in (1 << 34, -1, None):
+        with pytest.raises(ValueError, match="34 bits"):
+            write((1, [], 5), (2, [1], time))
+    with pytest.raises(Exception, match="not among the commits"):
+        write((1, [], 5), (2, [3], 5))
+    for arrays in (0, 10):
+        monkeypatch.setattr(dag, "ARRAY_EDGES", arrays)
+        with pytest.raises(Exception, match="their own ancestors"):
+            write((1, [2], 5), (2, [1], 5), (3, [], 5))
+    write((1, [], (1 << 34) - 1), (2, [], 0))
+    assert {r.oid: (r.parents, r.commit_time, r.generation) for r in repository.commit_graph(spark, str(tmp_path)).collect()} == {oid(1): ([], (1 << 34) - 1, 1), oid(2): ([], 0, 1)}
+
+
+def test_generations_of_long_and_wide_graphs(spark):
+    import numpy as np
+
+    from revquarry.operators import dag
+
+    child = np.concatenate([np.arange(1, 5000), np.arange(5000, 9000), [9000]])
+    parent = np.concatenate([np.arange(4999), np.arange(5000, 9000) % 7, [8999]])
+    child, parent = np.append(child, np.full(4000, 9001)), np.append(parent, np.arange(5000, 9000))
+    got = dag._generations([(child.astype(np.int32), parent.astype(np.int32))], 9002)
+    assert got[:5000].tolist() == list(range(1, 5001)) and got[5000:9000].tolist() == [x % 7 + 2 for x in range(5000, 9000)]
+    assert got[9000] == 8999 % 7 + 3 and got[9001] == 9
+
+
+@pytest.mark.parametrize("whole", [10, 1000])
+def test_commit_graph_rows_stay_off_the_driver(against_sql, spark, monkeypatch, whole):
+    """Beyond a bound commits are not collected."""
+    from revquarry.sources import repository
+
+    monkeypatch.setattr(repository, "GRAPH_WHOLE", whole, raising=False)
+    monkeypatch.setattr(repository, "GRAPH_PART", 10, raising=False)
+    sizes, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (sizes.append(len(out := collect(self))), out)[1])
+    keys = [*range(-3, 400), 1 << 33, 5, 7, None]
+    got, want = against_sql("commit_graph_rows", orders=([(k,) for k in keys], "o_orderkey long"))
+    assert got == want and len(got) == 400
+    assert whole > len(got) or sum(n >= len(got) for n in sizes) <= 1  # the test's own
