@@ -504,31 +504,30 @@ def generations(links: DataFrame, n: int) -> DataFrame:
         return spark.range(n).select(F.col("id").alias("commit"), F.lit(1).cast("long").alias("generation"))
     ship_package(spark)
 
+    def packed(batches) -> np.ndarray:
+        out, at = np.empty(size, np.int64), 0
+        for batch in batches:
+            out[at : at + len(batch)] = batch["parent"].to_numpy() << 32 | batch["child"].to_numpy()
+            at += len(batch)
+        return out[:at]
+
     def run(batches):
-        found = _generations([(batch["child"].to_numpy(), batch["parent"].to_numpy()) for batch in batches], n)
+        found = _generations(packed(batches), n)
         for i in range(0, n, 100_000):
             part = found[i : i + 100_000].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array(part)], names=["commit", "generation"])
 
-    return written(links.select(F.col("child").cast("int"), F.col("parent").cast("int")).coalesce(1).mapInArrow(run, "commit long, generation long"), "generations")
+    return written(links.coalesce(1).mapInArrow(run, "commit long, generation long"), "generations")
 
 
-def _generations(sides: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """As :func:`generations`, from children and parents of links in 32 bits; what isn't needed any more goes at once, ``sides`` too."""
-    child, parent = (np.concatenate(x) for x in zip(*sides, strict=True))
-    sides.clear()
-    links = parent.astype(np.int64)
-    links <<= 32
-    links |= child
+def _generations(links: np.ndarray, n: int) -> np.ndarray:
+    """As :func:`generations`, by number, from links with the parent in the higher 32 bits; they are overwritten."""
     links.sort()
-    waiting, starts = np.bincount(child, minlength=n).astype(np.int32), np.zeros(n + 1, np.int64)
-    del child
-    starts[1:] = np.bincount(parent, minlength=n)
-    del parent
-    np.cumsum(starts, out=starts)
+    starts = np.searchsorted(links, np.arange(n + 1, dtype=np.int64) << 32)
     links &= 0xFFFFFFFF
     below = links.astype(np.int32)
     del links
+    waiting = np.bincount(below, minlength=n).astype(np.int32)
     out = np.zeros(n, np.int32)
     # Long chains have levels of a few commits: those go through Python's own numbers, which are faster there.
     one_below, one_start, one_waiting, one_out = (memoryview(x) for x in (below, starts, waiting, out))

@@ -162,7 +162,7 @@ def test_generations_of_long_and_wide_graphs(spark):
     child = np.concatenate([np.arange(1, 5000), np.arange(5000, 9000), [9000]])
     parent = np.concatenate([np.arange(4999), np.arange(5000, 9000) % 7, [8999]])
     child, parent = np.append(child, np.full(4000, 9001)), np.append(parent, np.arange(5000, 9000))
-    got = dag._generations([(child.astype(np.int32), parent.astype(np.int32))], 9002)
+    got = dag._generations(parent << 32 | child, 9002)
     assert got[:5000].tolist() == list(range(1, 5001)) and got[5000:9000].tolist() == [x % 7 + 2 for x in range(5000, 9000)]
     assert got[9000] == 8999 % 7 + 3 and got[9001] == 9
 
